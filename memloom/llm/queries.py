@@ -6,20 +6,43 @@ derives the columns that its contract asks for.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import langid, pii, piece_bpe, quality, token_counts
+from memloom.llm import chat, decontam, langid, line_dedup, maxscore, pii, piece_bpe, quality, simhash, token_counts
 from memloom.llm._common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, json.dumps({"prompt": text, "response": text}))], "conv_id long, record string")
+    return chat.digests(chat.conversation_records(table(spark, sf_dir, "conversations")).unionByName(added))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.quantized(table(spark, sf_dir, "embeddings"))
+    queries = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return maxscore.search(vectors, queries, k=5)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -36,18 +59,42 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=512)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_simhash": op3_simhash,
+    "op4_maxscore": op4_maxscore,
     "op5_quality": op5_quality,
     "op6_langid": op6_langid,
     "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.ORACLE_SQL,
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_maxscore": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (SELECT vec_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS d FROM v),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+""",
 }
-ORACLES: dict[str, str] = {}
