@@ -86,8 +86,9 @@ def cosine(a, b):
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, skip_own: bool = False, max_queries: int = 100_000) -> DataFrame:
-    """The k nearest of vectors (doc_id, embedding) for each of queries (query_id, q).
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, skip_own: bool = False, max_queries: int = 100_000, by=("query_id",)) -> DataFrame:
+    """The k nearest of vectors (doc_id, embedding) for each of queries (query_id, q),
+    or for each query and class of vectors named in by.
 
     Queries are a batch, sent to all partitions; a batch of more than
     ``max_queries`` goes in salted blocks through a join on the block instead, so
@@ -99,11 +100,12 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, skip_own: bool = F
     else:
         blocks = 1 + queries.count() // max_queries
         side = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    spread = vectors.select("doc_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    more = [c for c in by if c != "query_id"]
+    spread = vectors.select("doc_id", "embedding", *more, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pairs = spread.join(side, "block")
     if skip_own:
         pairs = pairs.filter("query_id <> doc_id")
-    return top_by(pairs.select("query_id", "doc_id", dot(F.col("q"), F.col("embedding")).alias("score")), k)
+    return top_by(pairs.select("query_id", "doc_id", *more, dot(F.col("q"), F.col("embedding")).alias("score")), k, by=by)
 
 
 def ranked(scores: DataFrame, by=("query_id",)) -> DataFrame:
@@ -143,7 +145,7 @@ def priors(fused: DataFrame, atoms: DataFrame, now: int, window: tuple[int, int]
     both = fused.join(atoms.select(F.col("id").alias("doc_id"), tx.effective_time().alias("t"), "importance"), "doc_id")
     if window:
         return both.filter(F.col("t").between(*window)).withColumn("score", F.col("score") * tx.importance_factor("importance")).drop("t", "importance")
-    return both.withColumn("score", F.col("score") * tx.importance_factor("importance") * tx.time_factor(F.lit(now) - F.col("t"))).drop("t", "importance")
+    return both.withColumn("score", F.round(F.col("score") * tx.importance_factor("importance") * tx.time_factor(F.lit(now) - F.col("t")), 12)).drop("t", "importance")
 
 
 def interleave(hits: DataFrame, cap: int = 64) -> DataFrame:

@@ -55,7 +55,7 @@ def signals(memory: Memory, queries: DataFrame, req: Request) -> DataFrame:
     terms = ranking.pruned_terms(terms, posts.df, live)
     lexical = posts.score(terms.select("query_id", "term"), ranking.bm25_fts(), within.select("doc_id")).withColumn("signal", F.lit("bm25"))
     dense = queries.filter("q IS NOT NULL").select("query_id", "q")
-    dense = ranking.dense_top(dense, memory.vectors.join(within, "doc_id", "left_semi"), req.per_signal * 2).drop("rank").withColumn("signal", F.lit("dense"))
+    dense = ranking.dense_top(dense, memory.vectors.join(within, "doc_id"), req.per_signal, by=("query_id", "class_pos")).drop("rank", "class_pos").withColumn("signal", F.lit("dense"))
     both = lexical.select("query_id", "doc_id", "score", "signal").union(dense.select("query_id", "doc_id", "score", "signal")).join(within, "doc_id")
     best = top_by(both, req.per_signal, by=("query_id", "signal", "class_pos")).drop("rank")
     order = Window.partitionBy("query_id", "signal").orderBy("class_pos", F.desc("score"), "doc_id")

@@ -186,7 +186,7 @@ RECALL_SQL = TERMS_SQL + """
       SELECT query_id, doc_id, score, 'bm25' AS signal, class_pos FROM fts JOIN live ON id = doc_id
       UNION ALL SELECT query_id, doc_id, score, 'dense', class_pos FROM dense JOIN live ON id = doc_id)) WHERE own <= 200),
 fused AS (SELECT query_id, doc_id, min(class_pos) AS class_pos, round(sum(1.0 / (60 + rank)), 12) AS score, string_agg(DISTINCT signal, ',' ORDER BY signal) AS tags FROM cand GROUP BY query_id, doc_id),
-scored AS (SELECT f.query_id, f.doc_id, f.class_pos, f.tags, f.score * (1 + least(importance, 1.0)) * (0.5 + 0.5 * exp(-greatest(0.0, (1740000000 - coalesce(occurred_at, created_at))::DOUBLE) / 7776000.0)) AS score FROM fused f JOIN atoms a ON a.id = f.doc_id),
+scored AS (SELECT f.query_id, f.doc_id, f.class_pos, f.tags, round(f.score * (1 + least(importance, 1.0)) * (0.5 + 0.5 * exp(-greatest(0.0, (1740000000 - coalesce(occurred_at, created_at))::DOUBLE) / 7776000.0)), 12) AS score FROM fused f JOIN atoms a ON a.id = f.doc_id),
 turns AS (SELECT *, row_number() OVER (PARTITION BY query_id, class_pos ORDER BY score DESC, doc_id) AS turn FROM scored),
 places AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, class_pos) AS place FROM turns),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN place <= 64 THEN place ELSE 65 END, score DESC, doc_id) AS position FROM places)"""

@@ -254,3 +254,26 @@ def k02(v):
 @query("t05_seeded_sample", "SELECT event_id FROM (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events) ORDER BY h, event_id LIMIT 50")
 def t05(v):
     return v.raw("events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("h")).orderBy("h", "event_id").limit(50).select("event_id")
+
+
+@query("st2_near_copy_gate")
+def st2(v):
+    from memloom.streaming import ambient
+
+    e = v.embeddings
+    return ambient.near_copies(e.filter("atom_id % 10 = 0").select(F.col("atom_id").alias("id"), "embedding"), e.filter("atom_id % 10 <> 0").select("atom_id", "embedding", F.col("atom_id").alias("t")), floor=0.3).select("id", "atom_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("st3_drift_notices")
+def st3(v):
+    from memloom.streaming import ambient
+
+    e = v.raw("events")
+    return ambient.drift(e.select(F.col("user_id").cast("string").alias("session_id"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("atom_id"), F.when(F.col("event_id") % 3 == 0, 0.98).otherwise(0.5).alias("score"), (F.col("event_id") % 7 == 0).alias("in_context")))
+
+
+@query("s11_spans")
+def s11(v):
+    from memloom.sources.exports import spans
+
+    return spans(v.raw("conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("offset"), "role", "text"))
