@@ -215,9 +215,9 @@ def ics_date(raw) -> Column:
 def mended(text) -> Column:
     """Undoes UTF-8 that was read as Latin-1; what isn't such stays."""
     text = _c(text)
-    again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    sound = ~text.rlike("[^\\x{00}-\\x{FF}]") & ~again.contains("\ufffd")
-    return F.when(sound, again).otherwise(text)
+    narrow = ~text.rlike("[^\\x{00}-\\x{FF}]")
+    again = F.when(narrow, F.encode(text, "ISO-8859-1")).cast("string")
+    return F.when(narrow & F.is_valid_utf8(again), again).otherwise(text)
 
 
 def is_atom_id(text) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from memloom.functions import text as tx
 from memloom.operators import ranking, store, trust
 from memloom.operators.graph import top_by
+from memloom.sources.tables import durable
 
 
 @dataclass(frozen=True)
@@ -69,13 +70,13 @@ def recall(memory: Memory, queries: DataFrame, labels: DataFrame, now: int, req:
     A blank query has no rows.
     """
     asked = queries.filter(F.trim("query_text") != "")
-    hits = signals(memory, asked, req)
+    hits = durable(signals(memory, asked, req))  # read by both lists and the tags
     tags = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("signal")).alias("tags"), F.min("class_pos").alias("class_pos"))
     fused = ranking.rrf([(hits.filter("signal = 'bm25'"), 1.0), (hits.filter("signal = 'dense'"), 1.0)]).drop("first")
     boosted = ranking.facet_boost(fused, memory.facets.filter("key = 'entity'"), labels)
     scored = ranking.priors(boosted, memory.atoms, now, req.time_scope)
     ordered = ranking.interleave(scored.join(tags, ["query_id", "doc_id"]), req.head)
-    marked = ordered.withColumn("signals", F.when(F.col("facet"), F.concat("tags", F.array(F.lit("facet")))).otherwise(F.col("tags")))
+    marked = durable(ordered).withColumn("signals", F.when(F.col("facet"), F.concat("tags", F.array(F.lit("facet")))).otherwise(F.col("tags")))
     judged = trust.assess(marked.select("query_id", "doc_id", "score", "position", "signals"), memory.atoms, memory.provenance, trust.chain_ends(memory.supersedes), now)
     place = Window.partitionBy("query_id").orderBy("position")
     return judged.withColumn("position", F.row_number().over(place)).filter(F.col("position") <= req.k)

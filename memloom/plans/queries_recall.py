@@ -8,6 +8,7 @@ from memloom.functions import text as tx
 from memloom.operators import graph, ranking, recall, store, trust
 from memloom.plans.registry import query
 from memloom.plans.views import NOW, Views, with_views
+from memloom.sources.tables import durable
 
 #: Postings and query terms as SQL; lower-case words, statistics over all documents.
 TERMS_SQL = with_views("atoms", "vectors") + r"""
@@ -194,7 +195,7 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHE
 
 def _candidates(v: Views):
     req = recall.Request(tier="L3")
-    hits = recall.signals(_memory(v), _asked(v), req)
+    hits = durable(recall.signals(_memory(v), _asked(v), req))
     tags = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("signal")).alias("tags"), F.min("class_pos").alias("class_pos"))
     fused = ranking.rrf([(hits.filter("signal = 'bm25'"), 1.0), (hits.filter("signal = 'dense'"), 1.0)]).drop("first")
     return ranking.priors(fused, v.atoms, NOW).join(tags, ["query_id", "doc_id"])
@@ -226,7 +227,7 @@ SELECT query_id, doc_id, CAST(position AS INTEGER) AS position, round(CASE WHEN
   CASE WHEN kind = 'document_chunk' AND tags IN ('bm25', 'dense') THEN least(c, 0.4) ELSE c END >= 0.6 AS should_trust
 FROM judged WHERE position <= 30""")
 def r21(v):
-    ordered = ranking.interleave(_candidates(v)).withColumn("signals", F.col("tags"))
+    ordered = durable(ranking.interleave(_candidates(v)).withColumn("signals", F.col("tags")))
     judged = trust.assess(ordered.select("query_id", "doc_id", "score", "position", "signals"), v.atoms, v.provenance, trust.chain_ends(v.supersedes), NOW)
     return judged.filter("position <= 30").select("query_id", "doc_id", "position", F.round("confidence", 6).alias("confidence"), "should_trust")
 
