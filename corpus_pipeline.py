@@ -36,7 +36,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs)
     stay = durable(groups.filter("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(stay.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ at least ``min_words`` words together, that also begins at an earlier position.
 Lines are what ``\\n`` separates, compared with runs of white space as one blank
 and none at the ends; lines of white space alone aren't counted, end no run and
 are kept.  Everything is DataFrame operations; a frequent line or passage is
-aggregated before each shuffle and joined against one row.
+aggregated before each shuffle and joined against one row.  The joins are sort-merge
+joins at every size, since none of their sides has a bound.
 
 Defined results: a null text stays null and has no lines; an empty text stays
 empty; a text of which only blank lines are left becomes empty; rows with equal
@@ -58,10 +59,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     windows = durable(_windows(docs, id_col, text_col, min_words))
     place = F.struct("d", "t", "p")
     again = durable(windows.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi OR (lo IS NULL) <> (hi IS NULL)").select("f"))
-    near = windows.join(again, "f", "left_semi").select("d", "t", "i", "c", "k1", "k2")
+    near = windows.join(again.hint("merge"), "f", "left_semi").select("d", "t", "i", "c", "k1", "k2")
     begin = F.struct("d", "t", "i")
     first = durable(near.groupBy("k1", "k2").agg(F.min(begin).alias("lo"), F.max(begin).alias("hi")).filter("NOT (lo <=> hi)").select("k1", "k2", "lo"))
-    later = near.join(first, ["k1", "k2"]).filter("NOT (struct(d, t, i) <=> lo)").select("d", "t", "i", "c")
+    later = near.join(first.hint("merge"), ["k1", "k2"]).filter("NOT (struct(d, t, i) <=> lo)").select("d", "t", "i", "c")
     return later.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(i, i + c - 1)")))).alias("gone"))
 
 
@@ -70,7 +71,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     line_dedup: numbers of lines, of lines removed, of words, of words removed."""
     gone = durable(repeated_lines(docs, min_words, id_col, text_col))
     keyed = docs.drop("line_dedup").select("*", F.col(id_col).cast("long").alias("_ld_d"), F.xxhash64(text_col).alias("_ld_t"))
-    both = keyed.join(gone.select(F.col("d").alias("_ld_d2"), F.col("t").alias("_ld_t2"), F.col("gone").alias("_ld_gone")), F.expr("_ld_d <=> _ld_d2 AND _ld_t = _ld_t2"), "left")
+    both = keyed.join(gone.select(F.col("d").alias("_ld_d2"), F.col("t").alias("_ld_t2"), F.col("gone").alias("_ld_gone")).hint("merge"), F.expr("_ld_d <=> _ld_d2 AND _ld_t = _ld_t2"), "left")
     tidy = "trim(BOTH ' ' FROM regexp_replace({0}, '[ \\\\t\\\\r\\\\f\\\\x0B]+', ' '))"
     text = f"`{text_col}`"
     lines = both.withColumn("_ld_raw", F.expr(f"split({text}, '\\n')"))
