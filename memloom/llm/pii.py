@@ -371,7 +371,10 @@ def all_spans(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]
 def fit_pii(docs: DataFrame, max_docs: int = 400) -> dict[str, np.ndarray]:
     """Learn from a bounded sample: the documents that have a trigger and the
     smallest hashes of their ids."""
-    rows = docs.filter("text rlike '[0-9@]' AND length(text) <= 20000").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).collect()
+    fit = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text rlike '[0-9@]' AND length(text) <= 20000")
+    # ids are chosen without their texts, so no partition sends more than max_docs ids
+    chosen = fit.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
+    rows = fit.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * max_docs).collect()
     return train([r["text"] for r in rows])
 
 
