@@ -123,13 +123,14 @@ def rrf(lists: list[tuple[DataFrame, float]], k: int = RRF_K, normalized: bool =
     return every.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 12).alias("score"), F.min(F.struct("place", "rank")).alias("first"))
 
 
-def agreement_merge(graph_hits: DataFrame, dense_hits: DataFrame, both: float = 100, graph_only: float = 50, dense_only: float = 30) -> DataFrame:
-    """Full outer merge of two rank lists (1-based), best where they agree."""
-    if not both > graph_only > dense_only:
-        raise ValueError("weights must fall from agreement to single lists")
+def agreement_merge(graph_hits: DataFrame, dense_hits: DataFrame, both: float = 100, dense_only: float = 50, graph_only: float = 30) -> DataFrame:
+    """Full outer merge of two rank lists (1-based): what both hold is above all else,
+    then dense hits, then hits of the graph alone."""
+    if not both > dense_only > graph_only:
+        raise ValueError("weights must fall from agreement over dense hits to graph hits")
     a = graph_hits.select("query_id", "doc_id", (F.col("rank") - 1).alias("ra"))
     b = dense_hits.select("query_id", "doc_id", (F.col("rank") - 1).alias("rb"))
-    score = F.when(F.col("ra").isNotNull() & F.col("rb").isNotNull(), both / (F.least("ra", "rb") + 1) + graph_only).when(F.col("ra").isNotNull(), graph_only / (F.col("ra") + 1)).otherwise(dense_only / (F.col("rb") + 1))
+    score = F.when(F.col("ra").isNotNull() & F.col("rb").isNotNull(), both / (F.least("ra", "rb") + 1) + dense_only).when(F.col("ra").isNotNull(), graph_only / (F.col("ra") + 1)).otherwise(dense_only / (F.col("rb") + 1))
     source = F.when(F.col("ra").isNotNull() & F.col("rb").isNotNull(), "both").when(F.col("ra").isNotNull(), "graph").otherwise("dense")
     return a.join(b, ["query_id", "doc_id"], "full_outer").select("query_id", "doc_id", score.alias("score"), source.alias("source"))
 

@@ -145,7 +145,7 @@ def a05(v):
 
 
 @query("j04_agreement_merge", _TWO_LISTS + """
- SELECT query_id, doc_id, round(CASE WHEN a.rank IS NOT NULL AND b.rank IS NOT NULL THEN 100.0 / (least(a.rank, b.rank) - 1 + 1) + 50 WHEN a.rank IS NOT NULL THEN 50.0 / a.rank ELSE 30.0 / b.rank END, 6) AS score,
+ SELECT query_id, doc_id, round(CASE WHEN a.rank IS NOT NULL AND b.rank IS NOT NULL THEN 100.0 / (least(a.rank, b.rank) - 1 + 1) + 50 WHEN a.rank IS NOT NULL THEN 30.0 / a.rank ELSE 50.0 / b.rank END, 6) AS score,
   CASE WHEN a.rank IS NOT NULL AND b.rank IS NOT NULL THEN 'both' WHEN a.rank IS NOT NULL THEN 'graph' ELSE 'dense' END AS source
 FROM l30 a FULL JOIN d30 b USING (query_id, doc_id)""")
 def j04(v):
