@@ -17,8 +17,8 @@ Queries are rows in blocks sent to every shard; neither side is broadcast.
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, as query or candidate; vectors of another length than the
 query's don't meet it; ties go to the smaller id; a query with fewer candidates
-gets all of them; repeated rows are candidates each; a row with null id takes
-no part; an empty table gives an empty table.  Other columns are ignored.
+gets all of them; repeated rows are candidates each but one query; a row with
+null id takes no part; an empty table gives an empty table.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, skip_own: bool =
     rank, vec_id, score.  v is an array of integers below 2**21 without nulls."""
     shards = max(1, -(-vectors.count() // shard))
     spread = vectors.select(F.expr(f"CAST(pmod(xxhash64(vec_id), {shards}) AS INT)").alias("shard"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v")
+    asked = queries.dropDuplicates(["query_id", "v"]).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held, built = None, [], [], None

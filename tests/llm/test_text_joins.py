@@ -140,6 +140,8 @@ def test_search_skips_unsound_vectors(spark):
     assert sorted(r.vec_id for r in v.collect()) == [0, 4, 4]
     got = maxscore.search(v, v.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id")).collect()
     assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 4, -3 * 128 + 64 * 256)] * 1 + [(2, 4, -3 * 128 + 64 * 256)]
+    twice = maxscore.search(v, v.filter("vec_id = 4").withColumnRenamed("vec_id", "query_id")).collect()
+    assert [(r.rank, r.vec_id) for r in twice] == [(1, 0)]  # a repeated query row is one query
     assert maxscore.search(v.limit(0), v.limit(0).withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
