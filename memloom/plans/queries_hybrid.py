@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
-from memloom.operators import cases, graph, hybrid, inverted, ranking
+from memloom.operators import cases, graph, hybrid, inverted, models, ranking
 from memloom.plans.queries_graph import GRAPH_SQL, _graph
 from memloom.plans.queries_recall import _TWO_LISTS, _asked, _two, _vectors
 from memloom.plans.registry import query
@@ -150,3 +150,32 @@ def r16(v):
     vectors = _vectors(v)
     centres = inverted.learn_centres(vectors)
     return inverted.search(durable(inverted.assign(vectors, centres)), centres, _asked(v).filter("q IS NOT NULL").select("query_id", "q"), 10)
+
+
+_SHARE_SQL = _TWO_LISTS + """
+, first AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fts),
+asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM benchmark)"""
+
+
+@query("r11_rerank_blend", _SHARE_SQL + """
+, x AS (SELECT f.query_id, f.doc_id, 0.4 * f.score + 0.6 * (10 * len(list_intersect(a.ws, regexp_extract_all(lower(substring(d.text, 1, 512)), '[a-z0-9]+')))::DOUBLE / len(a.ws)) AS score
+  FROM first f JOIN asked a ON a.query_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id WHERE rank <= 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x)
+SELECT query_id, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def r11(v):
+    lexical, _ = _two(v, 10)
+    return models.rerank_blend(lexical, v.queries, v.raw("documents")).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query("r11_rerank_replace", _SHARE_SQL + """
+, x AS (SELECT f.query_id, f.doc_id, f.rank AS old, len(list_intersect(a.ws, regexp_extract_all(lower(d.text), '[a-z0-9]+')))::DOUBLE / len(a.ws) AS score
+  FROM first f JOIN asked a ON a.query_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id WHERE rank <= 50)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS INTEGER) AS rank FROM x""")
+def r11b(v):
+    lexical, _ = _two(v, 50)
+    return models.rerank_replace(lexical, v.queries, v.raw("documents")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("m07_embed_missing")
+def m07(v):
+    return models.embed_missing(v.atoms, v.embeddings, "m0")

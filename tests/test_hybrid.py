@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from memloom.operators import cases, graph, hybrid, inverted, ranking
+from memloom.operators import cases, graph, hybrid, inverted, models, ranking
 
 
 def test_agreement_weights(spark):
@@ -84,3 +84,24 @@ def test_inverted_lists_recall(spark, tmp_path):
     every = {(r.query_id, r.doc_id) for r in inverted.search(index, centres, queries, 10, probes=38).collect()}
     assert every == exact and len(near & exact) / len(exact) >= 0.9
     assert inverted.search(inverted.assign(vectors.limit(0), inverted.learn_centres(vectors.limit(0))), np.zeros((0, 0)), queries).count() == 0
+
+
+def test_rerank(spark):
+    hits = spark.createDataFrame([(1, 10, 5.0, 1), (1, 11, 4.0, 2), (1, 12, 3.0, 3)], "query_id int, doc_id int, score double, rank int")
+    q = spark.createDataFrame([(1, "red fox")], "query_id int, query_text string")
+    texts = spark.createDataFrame([(10, None), (11, "a red hen"), (12, "x" * 512 + " red fox")], "doc_id int, text string")
+    blend = models.rerank_blend(hits, q, texts).collect()
+    assert [(r.doc_id, round(r.score, 6)) for r in blend] == [(11, 4.6), (10, 2.0), (12, 1.2)]
+    assert [r.doc_id for r in models.rerank_replace(hits, q, texts).orderBy("rank").collect()] == [12, 11, 10]
+    assert models.rerank_replace(hits.limit(0), q, texts).count() == 0
+    with pytest.raises(Exception, match="no text for candidate"):
+        models.rerank_replace(hits, q, texts.filter("doc_id <> 10")).collect()
+
+
+def test_embed_missing_is_idempotent(spark):
+    atoms = spark.createDataFrame([(1, "a c", "live"), (2, None, "live"), (3, "c", "tombstone"), (4, "d", "live")], "id long, text string, status string")
+    have = spark.createDataFrame([(4, "m", [1.0]), (1, "other", [1.0])], "atom_id long, model_id string, embedding array<float>")
+    new = models.embed_missing(atoms, have, "m")
+    got = {r.atom_id: r.embedding for r in new.collect()}
+    assert set(got) == {1, 2} and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and not any(got[2])
+    assert models.embed_missing(atoms, have.unionByName(new), "m").count() == 0
