@@ -88,6 +88,42 @@ def upsert_edges(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
     return both.select("src_atom", "dst_atom", F.coalesce("_w", "weight").alias("weight"))
 
 
+def _judged(edges: DataFrame, verdicts: DataFrame, atoms: DataFrame) -> DataFrame:
+    """verdicts with their outcome: malformed, rejected, missing, updated or written."""
+    ids = atoms.select("id").distinct()
+    there = lambda df, col: df.join(ids.select(F.col("id").alias(col), F.lit(True).alias(f"_{col}")), col, "left")
+    had = edges.select(F.col("src_atom").alias("chunk_id"), F.col("dst_atom").alias("mem_id"), F.lit(True).alias("_had")).distinct()
+    both = there(there(verdicts, "mem_id"), "chunk_id").join(had, ["chunk_id", "mem_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
+    sound = F.col("mem_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("keep").isNotNull()
+    kept = F.when(~sound, "malformed").when(~F.col("keep"), "rejected").when(F.col("_mem_id").isNull() | F.col("_chunk_id").isNull(), "missing")
+    alone = F.when(F.col("_kept").isNotNull(), F.col("pos"))  # what changes nothing needs no order, and mustn't meet in one task
+    first = F.row_number().over(Window.partitionBy("chunk_id", "mem_id", alone).orderBy("pos"))
+    outcome = F.coalesce("_kept", F.when(F.col("_had").isNotNull() | (first > 1), "updated").otherwise("written"))
+    return both.withColumn("_kept", kept).withColumn("outcome", outcome).select("pos", "chunk_id", "mem_id", "confidence", "outcome")
+
+
+def apply_verdicts(edges: DataFrame, verdicts: DataFrame, atoms: DataFrame, campaign: str) -> DataFrame:
+    """Relating edges (src_atom, dst_atom, weight, campaign) after verdicts (pos, mem_id,
+    chunk_id, keep, confidence), applied in the order of pos.
+
+    A kept verdict on atoms that exist sets the weight of its edge, which a new edge
+    owes to the campaign; others change nothing.  A missing confidence is 1.
+    """
+    last = _judged(edges, verdicts, atoms).filter("outcome IN ('written', 'updated')").groupBy("chunk_id", "mem_id").agg(F.max_by("confidence", "pos").alias("_w"))
+    both = edges.withColumn("_old", F.lit(True)).join(last.select(F.col("chunk_id").alias("src_atom"), F.col("mem_id").alias("dst_atom"), "_w"), ["src_atom", "dst_atom"], "full_outer")
+    return both.select("src_atom", "dst_atom", F.coalesce("_w", "weight").alias("weight"), F.when(F.col("_old"), F.col("campaign")).otherwise(F.lit(campaign)).alias("campaign"))
+
+
+def verdict_report(edges: DataFrame, verdicts: DataFrame, atoms: DataFrame) -> DataFrame:
+    """How many verdicts had each outcome: outcome, n."""
+    return _judged(edges, verdicts, atoms).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def rollback_campaign(edges: DataFrame, campaign: str) -> DataFrame:
+    """Edges without those that the campaign wrote; weights that it set elsewhere stay."""
+    return edges.filter(~F.col("campaign").eqNullSafe(campaign))
+
+
 def bump_importance(atoms: DataFrame, bumps: DataFrame, step: float = 0.05) -> DataFrame:
     """Importance plus a step for each of bumps (id), at most 1 and never lowered."""
     n = bumps.groupBy("id").agg(F.count("*").alias("_n"))
@@ -100,7 +136,9 @@ def missing_embeddings(atoms: DataFrame, embeddings: DataFrame, model: str) -> D
 
 
 def drop_model(embeddings: DataFrame, atoms: DataFrame, old: str, new: str) -> DataFrame:
-    """Embeddings without the old model; refused unless the new one covers all live atoms."""
+    """Embeddings without the old model; refused for the active one, and unless that covers all live atoms."""
+    if old == new:
+        raise ValueError("the active model isn't dropped")
     if not missing_embeddings(atoms, embeddings, new).isEmpty():
         raise ValueError("the new model doesn't cover all live atoms")
     return embeddings.filter(F.col("model_id") != old)

@@ -277,3 +277,30 @@ def s11(v):
     from memloom.sources.exports import spans
 
     return spans(v.raw("conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("offset"), "role", "text"))
+
+
+#: Verdicts on pairs of atoms, some of them malformed or about atoms that don't exist.
+_VERDICTS = ("doc_id AS pos", "CASE WHEN doc_id % 41 <> 0 THEN doc_id % 97 + CASE WHEN doc_id % 37 = 0 THEN 1000000000 ELSE 0 END END AS mem_id", "doc_id % 97 + doc_id % 4 AS chunk_id", "doc_id % 3 <> 0 AS keep", "doc_id % 10 / CAST(10 AS DOUBLE) AS confidence")
+_VERDICT_SQL = with_views("atoms", "supersedes") + f"""
+, verdicts AS (SELECT {", ".join(_VERDICTS)} FROM documents),
+judged AS (SELECT v.*, CASE WHEN mem_id IS NULL THEN 'malformed' WHEN NOT keep THEN 'rejected' WHEN mem_id NOT IN (SELECT id FROM atoms) OR chunk_id NOT IN (SELECT id FROM atoms) THEN 'missing' END AS kept FROM verdicts v),
+done AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, mem_id, kept IS NULL ORDER BY pos) AS k, (chunk_id, mem_id) IN (SELECT (src_atom, dst_atom) FROM supersedes) AS had FROM judged),
+outcomes AS (SELECT *, coalesce(kept, CASE WHEN had OR k > 1 THEN 'updated' ELSE 'written' END) AS outcome FROM done)"""
+
+
+def _verdicts(v):
+    edges = v.supersedes.select("src_atom", "dst_atom", F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("campaign"))
+    return edges, v.raw("documents").selectExpr(*_VERDICTS), v.atoms
+
+
+@query("m08_verdicts", _VERDICT_SQL + """
+, last AS (SELECT chunk_id, mem_id, arg_max(confidence, pos) AS w FROM outcomes WHERE kept IS NULL GROUP BY ALL)
+SELECT coalesce(src_atom, chunk_id) AS src_atom, coalesce(dst_atom, mem_id) AS dst_atom, coalesce(w, 1.0) AS weight, CASE WHEN src_atom IS NULL THEN 'c1' END AS campaign
+FROM supersedes FULL JOIN last ON src_atom = chunk_id AND dst_atom = mem_id""")
+def m08(v):
+    return store.apply_verdicts(*_verdicts(v), "c1")
+
+
+@query("m08_verdict_report", _VERDICT_SQL + " SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome")
+def m08b(v):
+    return store.verdict_report(*_verdicts(v))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from memloom.operators import cases, graph, hybrid, inverted, models, ranking
+from memloom.operators import cases, graph, hybrid, inverted, models, ranking, store
 
 
 def test_agreement_weights(spark):
@@ -105,3 +105,20 @@ def test_embed_missing_is_idempotent(spark):
     got = {r.atom_id: r.embedding for r in new.collect()}
     assert set(got) == {1, 2} and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and not any(got[2])
     assert models.embed_missing(atoms, have.unionByName(new), "m").count() == 0
+
+
+def test_verdicts_apply_in_order_and_roll_back(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5, None)], "src_atom long, dst_atom long, weight double, campaign string")
+    atoms = spark.createDataFrame([(k,) for k in (1, 2, 3)], "id long")
+    rows = [(1, 2, 1, True, 0.9), (2, 3, 1, True, 0.1), (3, 3, 1, True, None), (4, 9, 1, True, 0.5), (5, None, 1, True, 0.5), (6, 3, 2, False, 0.5)]
+    verdicts = spark.createDataFrame(rows, "pos long, mem_id long, chunk_id long, keep boolean, confidence double")
+    new = store.apply_verdicts(edges, verdicts, atoms, "c")
+    assert {tuple(r) for r in new.collect()} == {(1, 2, 0.9, None), (1, 3, 1.0, "c")}
+    assert {r.outcome: r.n for r in store.verdict_report(edges, verdicts, atoms).collect()} == {"updated": 2, "written": 1, "missing": 1, "malformed": 1, "rejected": 1}
+    assert {tuple(r) for r in store.rollback_campaign(new, "c").collect()} == {(1, 2, 0.9, None)}
+
+
+def test_the_active_model_stays(spark):
+    none = spark.createDataFrame([], "atom_id long, model_id string")
+    with pytest.raises(ValueError, match="active"):
+        store.drop_model(none, none, "m", "m")
