@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import decontam, line_dedup, piece_bpe, quality, simhash
+from memloom.llm import decontam, line_dedup, minhash, piece_bpe, quality
 from memloom.llm._common import durable, table
 from memloom.llm.queries import vocabulary
 
@@ -33,8 +33,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near duplicates (shingles of five words, similarity 0.8) the
+    document with the smallest id stays."""
+    groups = minhash.near_duplicates(docs)
     stay = durable(groups.filter("doc_id = component_id").select("doc_id").distinct())
     return docs.join(stay.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 

@@ -1,0 +1,170 @@
+"""Near-duplicate documents by shingle sets: MinHash bands, exact verification.
+
+A document is the set of its shingles of ``width`` words.  Two documents are
+linked if the Jaccard similarity of their sets is at least ``similarity``, and
+the links' connected components are the groups.
+
+Equal sets are compared once.  Of each distinct set ``BANDS`` hashes are made of
+``ROWS`` minima each; sets that share one meet in a bucket.  At similarity 0.8 a
+pair misses all buckets with a probability of (1 - 0.8 ** 4) ** 20 = 0.00003.  In
+a small bucket all pairs are compared, by the exact intersection of their sets; in
+a large one a few leaders are compared with all members, and then those that are
+outside its largest component with all of other components.  So a large group of
+near copies costs a few comparisons for each member, and still nothing is capped:
+all pairs that share a bucket are compared or are known to be of one group.
+
+Words are what stands between ASCII white space, with ASCII letters in lower
+case.  Defined results: a null text is an empty one; texts without words are one
+group; a text of fewer words than a shingle is a single shingle.  Repeated rows
+give repeated rows; a null id is never the name of a group, and sets that only rows without an id
+hold are compared with no others.  Other columns are ignored; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from memloom.llm._common import durable
+from memloom.llm.components import smallest_reachable
+
+BANDS, ROWS = 20, 4
+#: Buckets of so many sets are compared all with all at once.
+SMALL = 16
+#: Of larger ones so many members, on average, are compared with all others first.
+LEADERS = 4
+_N = BANDS * ROWS
+#: Texts that are split at a time, so that a batch's words don't fill a worker's memory.
+_TEXTS = 200
+_digest = xxhash.xxh64_intdigest
+_MULTIPLY = np.array([_digest(b"multiply", k) | 1 for k in range(_N)], np.uint64)[:, None]
+_ADD = np.array([_digest(b"add", k) for k in range(_N)], np.uint64)[:, None]
+_PLACE = [_digest(b"place", k) | 1 for k in range(256)]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    if isinstance(split, pa.ChunkedArray):
+        split = split.combine_chunks()
+    offsets = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten()
+    keep = np.asarray(pc.binary_length(coded)) > 0
+    before = np.concatenate([[0], np.cumsum(keep)])
+    offsets = before[offsets - offsets[0]]
+    coded = coded.filter(pa.array(keep)).dictionary_encode()
+    of = np.array([_digest(w.lower()) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    words = of[np.asarray(coded.indices)] if len(of) else np.empty(0, np.uint64)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        k = min(width, b - a)
+        if not k:
+            yield np.empty(0, np.uint64)
+            continue
+        h = np.full(b - a - k + 1, np.uint64(k))
+        for at in range(k):
+            h += words[a + at : b - k + 1 + at] * np.uint64(_PLACE[at])
+        yield np.unique(_mix(h))
+
+
+def band_hashes(own: np.ndarray) -> list[int]:
+    """A hash for each band of a set's minima; an empty set has none."""
+    if not len(own):
+        return []
+    least = np.full(_N, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1024):
+        least = np.minimum(least, _mix(own[None, at : at + 1024] * _MULTIPLY + _ADD).min(1))
+    return [_digest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+_PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([T.StructField("key", T.StringType()), T.StructField("own", T.ArrayType(T.LongType()))])
+
+
+def _key(own: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(own.tobytes())
+
+
+def _prints(docs: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
+            keys, bands = [], []
+            for own in shingle_sets(batch.column(1), width):
+                keys.append(_key(own))
+                bands.append(band_hashes(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=_PRINTS.names)
+
+    return docs.mapInArrow(run, _PRINTS)
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(key, own) of (text): the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
+            every = list(shingle_sets(batch.column(0), width))
+            yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in every], pa.string()), pa.array([x.view(np.int64) for x in every], pa.list_(pa.int64()))], names=_SETS.names)
+
+    return texts.mapInArrow(run, _SETS)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) that are similar, by their sets."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")).hint("merge"), "b")
+    top = round(similarity * 1000)
+    shared = F.size(F.array_intersect("x", "y"))
+    # |x & y| / |x | y| without division
+    return both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("i") * 1000 >= (F.col("n") - F.col("i")) * top).select("a", "b")
+
+
+def similar_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between similar sets that share a bucket (h, key); their
+    components are those of all such pairs."""
+    sizes = durable(buckets.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("least")))
+    leads = F.expr(f"key = least OR n <= {SMALL} OR pmod(xxhash64(key, h), n) < {LEADERS}")
+    placed = durable(buckets.join(sizes.hint("merge"), "h").select("h", "key", "n", leads.alias("leads")))
+    # every leader with every other member; of two leaders the smaller leads
+    members = placed.select("h", F.col("key").alias("b"), F.col("leads").alias("also"))
+    met = placed.filter("leads").select("h", F.col("key").alias("a")).join(members.hint("merge"), "h").filter("a <> b AND (NOT also OR a < b)")
+    met = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = durable(_verified(met, sets, similarity))
+    # in large buckets that aren't one component yet, whoever isn't in its largest one with all of other components
+    large = placed.filter(f"n > {SMALL}").select("h", "key")
+    roots = smallest_reachable(links).withColumnRenamed("node", "key")
+    told = durable(large.join(roots.hint("merge"), "key", "left").select("h", "key", F.coalesce("root", "key").alias("root")))
+    main = durable(told.groupBy("h", "root").count().groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("most")).filter("roots > 1").select("h", F.col("most.root").alias("main")))
+    open_ = durable(told.join(main.hint("merge"), "h").select("h", "key", "root", (F.col("root") != F.col("main")).alias("minor")))
+    others = open_.select("h", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("minor").alias("also"))
+    crossing = open_.filter("minor").select("h", F.col("key").alias("a"), F.col("root").alias("ra")).join(others.hint("merge"), "h").filter("ra <> rb AND (NOT also OR a < b)")
+    crossing = durable(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met.hint("merge"), ["a", "b"], "left_anti"))
+    return links.union(durable(_verified(crossing, sets, similarity)))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id and component_id, the smallest id of its group."""
+    rows = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
+    prints = durable(_prints(rows, width))
+    distinct = durable(prints.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands")))
+    every = distinct.select("key", F.explode("bands").alias("h")).distinct()
+    shared = every.groupBy("h").count().filter("count > 1").select("h")
+    buckets = durable(every.join(shared.hint("merge"), "h", "left_semi").select("h", "key"))
+    # of each of these sets the text is read again, by the smallest id; a set whose ids are all null has no name to give and needs none
+    wanted = durable(distinct.filter("first_doc IS NOT NULL").join(buckets.select("key").distinct().hint("merge"), "key", "left_semi").select("key", F.col("first_doc").alias("doc_id")))
+    texts = rows.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
+    sets = durable(_sets(texts, width).join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"]))
+    roots = smallest_reachable(similar_links(buckets, sets, similarity))
+    named = durable(distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first_doc", F.coalesce("root", "key").alias("root")))
+    least = durable(named.groupBy("root").agg(F.min("first_doc").alias("component_id")))
+    of_set = durable(named.join(least, "root").select("key", "component_id"))
+    return prints.join(of_set.hint("merge"), "key").select("doc_id", "component_id")

@@ -1,0 +1,75 @@
+import random
+
+import pyarrow as pa
+
+import corpus_pipeline
+from memloom.llm import minhash
+
+RNG = random.Random(8)
+WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(3, 7))) for _ in range(3000)]
+
+
+def words(n):
+    return [RNG.choice(WORDS) for _ in range(n)]
+
+
+def shingles(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_sets_of_slices():
+    texts = pa.array([" ".join(words(RNG.randint(0, 30))).upper() for _ in range(50)] + [None])
+    whole = [x.tolist() for x in minhash.shingle_sets(texts, 5)]
+    assert [x.tolist() for at in range(0, 51, 7) for x in minhash.shingle_sets(texts.slice(at, 7), 5)] == whole
+    assert [len(x) for x in whole] == [len(shingles(t)) for t in texts.to_pylist()]
+
+
+def test_groups_match_brute_force(spark):
+    docs = []
+    for size in (1, 2, 3, 5, 60):  # the last group fills buckets beyond SMALL
+        base = words(200)
+        for _ in range(size):
+            own = list(base)
+            for _ in range(RNG.randint(0, 5)):
+                own[RNG.randrange(200)] = RNG.choice(WORDS)
+            docs.append(" ".join(own))
+    docs += [None, "", " \n", "one two", "ONE  two", "one three"]
+    RNG.shuffle(docs)
+    rows = [(k, t) for k, t in enumerate(docs)] + [(3, docs[3]), (None, docs[5]), (None, "alone")]
+    got = minhash.near_duplicates(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, component_id int")).collect()
+    own = [shingles(t) for t in docs]
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
+            if jaccard(own[a], own[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert len(got) == len(rows)
+    assert all(r.component_id == root[r.doc_id] for r in got if r.doc_id is not None)
+    assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def near_and_line(spark, rows):
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    cut = corpus_pipeline.line_stage(spark, docs, "")
+    out = corpus_pipeline.near_stage(spark, cut, "")
+    assert out.columns == docs.columns
+    kept = {r.doc_id: r for r in out.collect()}
+    assert all(r.n_chars == len(r.text) for r in kept.values())
+    return {d: r.text for d, r in kept.items()}
+
+
+def test_near_stage_takes_similarity_of_point_eight(spark):
+    base = words(300)
+    edited = list(base)
+    for k in (30, 80, 130, 180, 230, 280):  # 30 of 296 shingles change: 266 / 326 = 0.816
+        edited[k] = "changed"
+    other = words(300)
+    a, b, c = " ".join(base), " ".join(edited), " ".join(other)
+    assert 0.8 <= jaccard(shingles(a), shingles(b)) < 0.83
+    assert near_and_line(spark, [(1, a), (2, b), (3, c)]) == {1: a, 3: c}
