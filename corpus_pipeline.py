@@ -14,8 +14,8 @@ from memloom.llm import decontam, line_dedup, minhash, piece_bpe, quality
 from memloom.llm._common import durable, table
 from memloom.llm.queries import vocabulary
 
-#: A document that loses this share of its words to deleted runs is a copy.
-COPY_SHARE = 0.8
+#: In this column the line stage hands text and n_chars as they were before lines were cut to the near stage.
+WHOLE = "whole"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +23,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and with them documents of which these
-    were at least four fifths of the words; n_chars follows the text."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """docs without later repeated runs of lines; n_chars follows the text."""
     cut = line_dedup.dedup_lines(docs)
-    info = F.col("line_dedup")
-    kept = cut.filter((info["n_words_removed"] == 0) | (info["n_words_removed"] < F.lit(COPY_SHARE) * info["n_words"]))
-    return kept.select(*[F.when(info["n_removed"] > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else c for c in docs.columns])
+    n_chars = F.when(F.col("line_dedup.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", n_chars)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go.  No document goes here: what a later one
+    lost may have to come back when the near stage drops the earlier one."""
+    cut = _cut(docs.withColumn(WHOLE, F.struct("text", "n_chars")))
+    return cut.select(*docs.columns, WHOLE)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (shingles of five words, similarity 0.8) the
-    document with the smallest id stays."""
-    groups = minhash.near_duplicates(docs)
+    """Of each group of near duplicates, judged on whole texts, the document with
+    the smallest id stays.  First occurrences of repeated runs are then chosen
+    among the documents that stay, and one goes if these leave nothing of it."""
+    groups = minhash.near_duplicates(docs.select("doc_id", f"{WHOLE}.text"))
     stay = durable(groups.filter("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(stay.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    kept = durable(docs.withColumns({"text": F.col(f"{WHOLE}.text"), "n_chars": F.col(f"{WHOLE}.n_chars")}).drop(WHOLE).join(stay.hint("merge"), "doc_id", "left_semi"))
+    cut = _cut(kept)
+    info = F.col("line_dedup")
+    left = cut.filter((info["n_words_removed"] == 0) | (info["n_words_removed"] < info["n_words"]))
+    return left.select(*[c for c in docs.columns if c != WHOLE])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,14 @@ def test_near_stage_takes_similarity_of_point_eight(spark):
     a, b, c = " ".join(base), " ".join(edited), " ".join(other)
     assert 0.8 <= jaccard(shingles(a), shingles(b)) < 0.83
     assert near_and_line(spark, [(1, a), (2, b), (3, c)]) == {1: a, 3: c}
+
+
+def test_unique_text_stays_in_the_corpus(spark):
+    lines = lambda n: "\n".join(" ".join(words(20)) for _ in range(n))
+    a, b, own, licence, short = lines(20), lines(3), lines(8), lines(16), lines(4)
+    # 2 is a near copy of 1 with b's first occurrence; 5 is four fifths licence; 6 is b alone
+    rows = [(1, a), (2, a + "\n" + b), (3, own + "\n" + b), (4, licence), (5, licence + "\n" + short), (6, b), (7, own + "\n" + b)]
+    got = near_and_line(spark, rows)
+    assert 2 not in got and 7 not in got and 6 not in got
+    assert got[3] == own + "\n" + b  # b was a later repeat, but its first occurrence went with 2
+    assert got.get(5) == short  # its licence goes, its own fifth stays
