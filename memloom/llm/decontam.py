@@ -6,9 +6,10 @@ a zero doesn't matter.  Hashes of all positions of the benchmark's items form a
 bit table of bounded size, which every task gets; positions of the documents
 that it lets through are joined with the benchmark's hashes themselves.  Each
 hit fixes an alignment of a document and an item, and around it the words are
-compared: the overlap is the longest stretch of the alignment in which at least
-``similarity`` of the words agree.  It counts if it has ``min_words`` words, or
-the whole item if that is shorter.
+compared: a document and an item overlap if in some stretch of the alignment, of
+``min_words`` words or the whole item if that is shorter, at least ``similarity``
+of the words agree; words of the item beyond the document's ends agree with none.
+Returned is the longest such stretch that begins and ends with agreeing words.
 
 Words are what stands between ASCII white space, in lower case, without
 punctuation at the ends.
@@ -35,7 +36,9 @@ from pyspark.sql import types as T
 from memloom.llm._common import durable
 
 MASKS = ("11111", "1101101", "110010101", "1010011001")
-#: Items of fewer words than the longest mask also get seeds of all their words.
+#: Items of at most SHORT words have these masks as well: with both, whatever fifth of an item's words is substituted, some mask at some place misses all of them.
+SHORT_MASKS = ("1111", "10111", "11011", "11101", "110011")
+SHORT = 10
 _LONGEST = max(map(len, MASKS))
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Words kept on either side of a run of hits; hits closer than that are one run.
@@ -62,15 +65,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (of[np.asarray(coded.indices)] if len(of) else np.empty(0, np.uint64)), offsets
 
 
-def _seeds(words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask the positions where it fits within a text, and the hashes there."""
+def _seeds(words: np.ndarray, offsets: np.ndarray, masks: tuple[str, ...] = MASKS, first: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask, numbered from first, the positions where it fits within a text, and the hashes there."""
     n = len(words)
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # words from here to the text's end
-    for m, mask in enumerate(MASKS):
+    for m, mask in enumerate(masks, first):
         if n < len(mask):
             continue
         last = n - len(mask) + 1
-        h = np.full(last, np.uint64(m + 1))
+        h = np.full(last, np.uint64(m))
         for k, c in enumerate(mask):
             if c == "1":
                 h += words[k : k + last] * _MULTIPLIERS[k]
@@ -81,6 +84,10 @@ def _seeds(words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield fits, h[fits]
 
 
+def _short_seeds(words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return _seeds(words, offsets, SHORT_MASKS, len(MASKS) + 1)
+
+
 def _short_items(words: np.ndarray) -> int:
     """The hash of an item that no mask fits, over all of its words."""
     return xxhash.xxh64_intdigest(words.tobytes(), 1 << 20 | len(words))
@@ -97,6 +104,11 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for places, hashes in _seeds(words, offsets):
             for p, h in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                 found[owner[p]].append({"h": h, "pos": p - int(offsets[owner[p]])})
+        for places, hashes in _short_seeds(words, offsets):
+            size = np.diff(offsets)[owner[places]]
+            few = (size >= min(map(len, MASKS))) & (size <= SHORT)
+            for p, h in zip(places[few].tolist(), hashes[few].view(np.int64).tolist(), strict=True):
+                found[owner[p]].append({"h": h, "pos": p - int(offsets[owner[p]])})
         own = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         for k, w in enumerate(own):
             if 0 < len(w) < min(map(len, MASKS)):
@@ -137,7 +149,7 @@ class BitTable:
 _RUNS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("run", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType())])))])
 
 
-def _runs(docs: DataFrame, table: BitTable, short: list[int]) -> DataFrame:
+def _runs(docs: DataFrame, table: BitTable, short: list[int], short_masks: bool) -> DataFrame:
     """Stretches of documents around positions that the bit table lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +157,8 @@ def _runs(docs: DataFrame, table: BitTable, short: list[int]) -> DataFrame:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 words, offsets = word_hashes(part.column(1))
-                every = [(p[hit], h[hit]) for p, h in _seeds(words, offsets) for hit in [table.hits(h)]]
+                seeds = [_seeds(words, offsets), *([_short_seeds(words, offsets)] if short_masks else [])]
+                every = [(p[hit], h[hit]) for own in seeds for p, h in own for hit in [table.hits(h)]]
                 for n in short:
                     p = np.array([k for a, b in zip(offsets[:-1], offsets[1:], strict=True) for k in range(a, b - n + 1)], np.int64)
                     h = np.array([_short_items(words[k : k + n]) for k in p], np.uint64)
@@ -170,16 +183,12 @@ def _runs(docs: DataFrame, table: BitTable, short: list[int]) -> DataFrame:
     return docs.mapInArrow(run, _RUNS)
 
 
-def longest_stretch(same: np.ndarray, similarity: float = 0.8) -> tuple[int, int, int]:
-    """(start, words, agreeing words) of the longest stretch in which at least
-    similarity of the words agree, beginning and ending with such a word; the
-    first of equals."""
-    n = len(same)
-    if not same.any():
-        return 0, 0, 0
-    top = round(similarity * 100)
-    total = np.concatenate([[0], np.cumsum(np.where(same, 100 - top, -top))])
-    low, high = np.minimum.accumulate(total), np.maximum.accumulate(total[::-1])[::-1]
+def _longest(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int]:
+    """The first longest (a, b) with total[b] >= total[a], of the given starts and ends."""
+    n = len(total) - 1
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    low = np.minimum.accumulate(np.where(starts, total, most))
+    high = np.maximum.accumulate(np.where(ends, total, least)[::-1])[::-1]
     best, i, j = (0, 0), 0, 0
     while i <= n and j <= n:
         if high[j] >= low[i]:
@@ -188,14 +197,32 @@ def longest_stretch(same: np.ndarray, similarity: float = 0.8) -> tuple[int, int
             j += 1
         else:
             i += 1
-    a, b = best
-    inner = np.flatnonzero(same[a:b])
-    if not len(inner):
+    return best
+
+
+def _balance(same: np.ndarray, similarity: float) -> np.ndarray:
+    """At each place the agreeing words before it, weighed so that a stretch has enough of them if this doesn't fall over it."""
+    top = round(similarity * 100)
+    return np.concatenate([[0], np.cumsum(np.where(same, 100 - top, -top))])
+
+
+def longest_stretch(same: np.ndarray, similarity: float = 0.8) -> tuple[int, int, int]:
+    """(start, words, agreeing words) of the longest stretch in which at least
+    similarity of the words agree, beginning and ending with such a word; the
+    first of equals."""
+    if not same.any():
         return 0, 0, 0
-    a, b = a + int(inner[0]), a + int(inner[-1]) + 1
+    a, b = _longest(_balance(same, similarity), np.append(same, False), np.append(False, same))
     return a, b - a, int(same[a:b].sum())
 
 
+def longest_words(same: np.ndarray, similarity: float = 0.8) -> int:
+    """Words of the longest stretch in which at least similarity of the words agree, whatever it begins and ends with."""
+    every = np.ones(len(same) + 1, bool)
+    a, b = _longest(_balance(same, similarity), every, every)
+    return b - a
+
+
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("doc_start", T.IntegerType()), T.StructField("item_start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_same", T.IntegerType())])
 
 
@@ -208,7 +235,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
     table = BitTable.of(seeds.select("h"))
     short = [r[0] for r in items.select(F.size("words").alias("n")).filter(f"n > 0 AND n < {min(map(len, MASKS))}").distinct().collect()]  # a few small numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    runs = durable(_runs(rows, table, short))
+    short_masks = not items.filter(f"size(words) BETWEEN {min(map(len, MASKS))} AND {SHORT}").isEmpty()
+    runs = durable(_runs(rows, table, short, short_masks))
     hits = runs.select("doc_id", "run", F.explode("hits").alias("x")).select("doc_id", "run", "x.h", "x.pos").join(seeds, "h")
     aligned = durable(hits.select("doc_id", "run", "item_id", (F.col("pos") - F.col("off")).alias("diag")).distinct())
     both = aligned.join(runs.select("doc_id", "run", "start", "words").dropDuplicates(["doc_id", "run"]), ["doc_id", "run"]).join(items.select("item_id", F.col("words").alias("item")), "item_id")
@@ -222,9 +250,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
                 a, b = max(0, -shift), min(len(item), len(words) - shift)
                 if b <= a:
                     continue
-                at, n, same = longest_stretch(np.asarray(item[a:b]) == np.asarray(words[a + shift : b + shift]), similarity)
-                if n and n >= min(min_words, len(item)):
-                    out.append((doc, item_id, a + at + int(diag), a + at, n, same))
+                agree = np.zeros(len(item), bool)
+                agree[a:b] = np.asarray(item[a:b]) == np.asarray(words[a + shift : b + shift])
+                if longest_words(agree, similarity) >= min(min_words, len(item)):
+                    at, n, same = longest_stretch(agree, similarity)
+                    out.append((doc, item_id, at + int(diag), at, n, same))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=_FOUND.names)
 
