@@ -39,7 +39,8 @@ from pyspark.sql import types as T
 class Layout:
     """A declarative mapping: either a list of messages or single fields in order.
 
-    items: (path of the list, role field, text field, names of roles);
+    items: (path of the list, role field, text field); roles: its own names of
+    roles, all others stay as they are;
     fields: (path, role) in the order of the turns; optional ones may be absent
     or empty, and an empty optional field makes no turn.
     """
@@ -48,6 +49,7 @@ class Layout:
     items: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     def paths(self) -> tuple[str, ...]:
         if self.items:
@@ -56,19 +58,18 @@ class Layout:
         return tuple(p for p, _ in self.fields)
 
 
+#: Names of roles in layouts that have their own.
+SPEAKERS = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("chatgpt", "assistant"))
 LAYOUTS = (
     Layout("messages", items=("messages", "role", "content"), fields=(("system", "system"),), optional=("system",)),
-    Layout("conversations", items=("conversations", "from", "value"), fields=(("system", "system"),), optional=("system",)),
-    Layout("dialog", items=("dialog", "speaker", "text")),
+    Layout("conversations", items=("conversations", "from", "value"), fields=(("system", "system"),), optional=("system",), roles=SPEAKERS),
+    Layout("dialog", items=("dialog", "speaker", "text"), roles=SPEAKERS),
     Layout("instruction", fields=(("system", "system"), ("instruction", "user"), ("input", "user+"), ("output", "assistant")), optional=("system", "input")),
     Layout("prompt_response", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")), optional=("system",)),
     Layout("prompt_completion", fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant")), optional=("system",)),
     Layout("question_answer", fields=(("context", "user"), ("question", "user+"), ("answer", "assistant")), optional=("context",)),
     Layout("nested_prompt", fields=(("prompt.system", "system"), ("prompt.user", "user"), ("response.text", "assistant")), optional=("prompt.system",)),
 )
-#: Names of roles in the wild.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
-
 
 def field_paths(value: object, prefix: str = "") -> set[str]:
     """The nested paths of a record's fields."""
@@ -133,10 +134,11 @@ def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
             out.append((role.rstrip("+"), text))
     if layout.items:
         where, role, text = layout.items
+        names = dict(layout.roles)
         for item in _at(record, where) or []:
             item = item if isinstance(item, dict) else {}
             name = _text(item.get(role))
-            out.append((ROLES.get(name, name), _text(item.get(text))))
+            out.append((names.get(name, name), _text(item.get(text))))
     return out
 
 

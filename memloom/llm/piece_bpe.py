@@ -14,10 +14,10 @@ kind is refused.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
 rows are independent of each other; other columns are ignored, whatever they
-are called; an empty table gives an empty table.  Each stretch is encoded and
-decoded by the sentencepiece library too when it is computed, and so are, as whole
-texts, each ``check_every``-th document of every Arrow batch; a difference raises
-an error.
+are called; an empty table gives an empty table.  All stretches that an Arrow
+batch brings up are encoded and decoded by the sentencepiece library too, in a row,
+and so are, as whole texts, each ``check_every``-th document of every batch; a
+difference raises an error.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ from memloom.llm._common import Memo, once_per_process
 MARK = "▁"
 _PLACE = 40
 _SHORT, _NONE = 48, 1 << 62
+#: Characters of stretches that wait for a check by the library, at most about.
+_CHECK_CHARS = 1 << 20
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 
@@ -74,8 +78,8 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class PieceCodec:
-    """Encoder and decoder for one model file; with the library, whatever digest()
-    takes is checked by it, stretch for stretch."""
+    """Encoder and decoder for one model file; with the library, check() compares
+    what digest() and numbers() computed since the last check with it."""
 
     def __init__(self, path: str, library: sentencepiece.SentencePieceProcessor | None = None):
         self.library = library
@@ -105,6 +109,9 @@ class PieceCodec:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.shown = {i: p.replace(MARK, " ") for i, (p, _, kind) in enumerate(self.pieces) if kind == _NORMAL}
         self.memo: Memo = Memo(self._known, 300_000)
+        self.packed: Memo = Memo(self._packed, 300_000)
+        self.fresh: list[tuple[str, list[int], str]] = []  # stretches computed since the last check
+        self.n_fresh = 0
 
     def stretch_ids(self, text: str) -> list[int]:
         """The ids of one stretch, by the agenda."""
@@ -165,17 +172,37 @@ class PieceCodec:
                     ids += [self.byte_id[b] for b in s.encode("utf-8", "surrogatepass")]
         return ids
 
-    def _known(self, stretch: str) -> tuple[int, str, str]:
+    def _computed(self, stretch: str) -> tuple[list[int], str]:
         ids = self.stretch_ids(stretch)
         spelt = self._spell(ids)
         if self.library is not None:
-            # the library sets the first mark itself; a mark alone has to end a text for that
-            before = "a" if stretch == MARK else ""
-            known = self.library.encode(before + stretch if before else stretch[1:], num_threads=1)
-            if known != (self.library.encode(before) if before else []) + ids or self.library.decode(known) != before + spelt.removeprefix("" if before else " "):
-                raise ValueError("the encoder and the sentencepiece library differ")
+            self.fresh.append((stretch, ids, spelt))
+            self.n_fresh += len(stretch)
+            if self.n_fresh > _CHECK_CHARS:
+                self.check()
+        return ids, spelt
+
+    def _known(self, stretch: str) -> tuple[int, str, str]:
+        ids, spelt = self._computed(stretch)
         return len(ids), ",".join(map(str, ids)), spelt
 
+    def _packed(self, stretch: str) -> tuple[bytes, str]:
+        ids, spelt = self._computed(stretch)
+        return array("i", ids).tobytes(), spelt
+
+    def check(self) -> None:
+        """Compare the stretches computed since the last check with the library, all in
+        one text: no merge crosses into a stretch, so its ids are theirs in a row."""
+        # one of marks alone would run into the next one, so it ends a text of its own
+        ends = [x for x in self.fresh if not x[0].strip(MARK)]
+        for part in ([x for x in self.fresh if x[0].strip(MARK)], *([("▁a", self.stretch_ids("▁a"), " a"), x] for x in ends)):
+            if part:
+                known = self.library.encode("".join(x[0] for x in part)[1:], num_threads=1)
+                if known != [i for x in part for i in x[1]] or self.library.decode(known) != "".join(x[2] for x in part).removeprefix(" "):
+                    raise ValueError("the encoder and the sentencepiece library differ")
+        self.fresh.clear()
+        self.n_fresh = 0
+
     def _spell(self, ids: list[int]) -> str:
         out, held = [], bytearray()
         for i in ids:
@@ -206,6 +233,13 @@ class PieceCodec:
         counts, ids, shown = zip(*map(self.memo.__getitem__, self.stretches(text)), strict=True)
         return sum(counts), ",".join(ids), "".join(shown).removeprefix(" ")
 
+    def numbers(self, text: str) -> tuple[bytes, str]:
+        """The ids as 32-bit numbers in a row, and the decoded text."""
+        if not text:
+            return b"", ""
+        ids, shown = zip(*map(self.packed.__getitem__, self.stretches(text)), strict=True)
+        return b"".join(ids), "".join(shown).removeprefix(" ")
+
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 FULL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -235,15 +269,18 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, library = _codec(model)
         for batch in batches:
-            all_ids, texts = [], []
+            packed, texts = [], []
             for k, x in enumerate(batch.column(1)):
                 text = x.as_py() or ""
-                _, ids, shown = codec.digest(text)
+                ids, shown = codec.numbers(text)
                 if k % check_every == 0:
-                    _checked(library, text, ids, shown)
-                all_ids.append([int(i) for i in ids.split(",")] if ids else [])
+                    _checked(library, text, ",".join(map(str, np.frombuffer(ids, np.int32).tolist())), shown)
+                packed.append(ids)
                 texts.append(shown)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=FULL.names)
+            codec.check()
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=FULL.names)
 
     return _texts(docs, id_col, text_col).mapInArrow(run, FULL)
 
@@ -264,6 +301,7 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
                 counts.append(n)
                 ids_sha.append(sha(ids))
                 text_sha.append(sha(shown))
+            codec.check()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=OUT.names)
 
     return _texts(docs, id_col, text_col).mapInArrow(run, OUT)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -50,6 +51,22 @@ def test_lines_match_brute_force(spark):
     assert got[None].text is None and line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_by_pairs_and_by_stretches(spark):
+    lines = [" ".join(words(n)) for n in (1, 1, 2, 3, 5, 8, 12, 30)]
+    docs = [(d, "\n".join(RNG.choice(lines) if RNG.random() < 0.9 else " ".join(words(2)) for _ in range(RNG.randint(1, 14)))) for d in range(50)]
+    gone = brute_lines(docs, 14)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for few in (0, 3, 10**9):
+        rows = {r.d: len(r.gone) for r in line_dedup.repeated_lines(df, 14, few=few).collect()}
+        assert rows == {d: len(g) for d, g in gone.items() if g}, few
+    # names that the operator uses itself, and one text of very many lines
+    odd = spark.createDataFrame([(1, "x", 7, "y", [1]), (2, None, 8, "z", None)], "doc_id long, text string, raw int, gone string, row array<int>")
+    assert [tuple(r)[:5] for r in line_dedup.dedup_lines(odd).orderBy("doc_id").collect()] == [tuple(r) for r in odd.collect()]
+    long = "\n".join(f"line {k} of a text" for k in range(20_000))
+    cut = line_dedup.dedup_lines(spark.createDataFrame([(1, long), (2, long + "\nend")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert cut[0].text == long and cut[1].text == "end"
+
+
 def test_equal_rows_stay(spark):
     text = " ".join(words(60))
     rows = line_dedup.dedup_lines(spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")).collect()
@@ -103,7 +120,7 @@ def test_tiles_find_every_group(spark):
     base = rng.integers(0, 2**62, 300)
     near = [int(b) ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))) for b in base for _ in range(3)]
     prints = sorted({*map(int, base), *near})
-    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), tile=64).collect()
+    links = simhash.near_links(spark.createDataFrame([(p, [p]) for p in prints], "node long, words array<long>"), tile=64).collect()
     want = groups_by_force(prints)
     root = {r.node: r.root for r in components.smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
     sets = lambda m: sorted(sorted(p for p in m if m[p] == t) for t in set(m.values()))
@@ -125,7 +142,7 @@ def test_search_matches_brute_force(spark):
     vecs[100:160] = vecs[100]
     rows = [(k, [int(x) for x in v]) for k, v in enumerate(vecs)]
     df = spark.createDataFrame(rows, "vec_id long, v array<int>")
-    got = maxscore.search(df, df.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=5, shard=64).collect()
+    got = maxscore.search(df, df.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=5, components=1000).collect()
     want = set()
     for q in range(0, 300, 20):
         best = sorted(((-int(vecs[q] @ vecs[k]), k) for k in range(300) if k != q))[:5]
@@ -145,6 +162,17 @@ def test_search_skips_unsound_vectors(spark):
     assert maxscore.search(v.limit(0), v.limit(0).withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
+def test_search_of_large_components(spark):
+    rows = [(0, [1e8, -3e9, 1.0]), (1, [1e8, 2e9, 0.5]), (2, [-1e8, 1e15, 2.0]), (3, [1e8, -3e9, 1.0 + 2**-8]), (4, [1e307, 0.0, 0.0]), (5, [0.0, 0.0, 0.0])]
+    v = maxscore.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = {r.vec_id: [int(x) for x in r.v] for r in v.collect()}
+    assert whole[3][2] == 257 and whole[2][1] == 256 * 10**15
+    got = maxscore.search(v, v.withColumnRenamed("vec_id", "query_id"), k=6).collect()
+    score = lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[a], whole[b], strict=True))))
+    assert len(got) == 30 and all(r.score == score(r.query_id, r.vec_id) for r in got)
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == sorted((b for b in whole if b), key=lambda b: (-score(0, b), b))
+
+
 # ---- decontamination ---------------------------------------------------------------
 
 
@@ -218,4 +246,7 @@ def test_conversations_with_odd_rows(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x" * 20_000), (1, 1, "assistant", "b"), (2, None, None, "t"), (None, 0, "user", "u")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.digests(chat.conversation_records(rows)).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 20_001 and got[2].n_turns == 1 and None in got
+    # names of roles are those of the rows; only layouts with names of their own have them mapped
+    named = chat.digests(chat.conversation_records(spark.createDataFrame([(5, 0, "human", "q"), (5, 1, "gpt", "a")], "conv_id long, turn long, role string, text string"))).collect()[0]
+    assert named.turns_sha256 == hashlib.sha256(b"human\nq\ngpt\na\n").hexdigest() and named.loss_chars == 0
     assert chat.digests(chat.conversation_records(rows.limit(0))).count() == 0
