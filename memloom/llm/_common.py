@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,25 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, max_rows: int, max_bytes: int) -> list[Row]:
+    """Distinct rows of rows (doc_id, text, labels ...) for the driver to learn from.
+
+    They are those with the smallest hashes of their ids: of the first ``max_rows``
+    (repeated ones count) as many, in this order, as fit into ``max_bytes`` of text
+    together.  What comes to the driver is bounded by these two alone, and no
+    partition sends a text that isn't chosen.
+    """
+    keyed = rows.withColumn("text_hash", F.xxhash64("text"))
+    sizes = keyed.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text_hash", F.octet_length("text").alias("n"))
+    chosen, total = set(), 0
+    for r in sizes.orderBy("h", "doc_id", "text_hash").limit(max_rows).collect():
+        if (r["doc_id"], r["text_hash"]) not in chosen and total + r["n"] <= max_bytes:
+            chosen.add((r["doc_id"], r["text_hash"]))
+            total += r["n"]
+    wanted = rows.sparkSession.createDataFrame(sorted(chosen), T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType())]))
+    return keyed.join(F.broadcast(wanted), ["doc_id", "text_hash"]).dropDuplicates().orderBy("doc_id", "text_hash", *[c for c in rows.columns if c not in ("doc_id", "text")]).collect()
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks and keeps a bounded number of
     results in two generations, so that frequent keys stay.  The results don't
@@ -65,6 +86,10 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 _PER_PROCESS: dict = {}
 

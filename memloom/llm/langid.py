@@ -1,19 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word forwards and backwards and labels every
-byte position with probabilities of the languages; a document's probabilities
-are the mean over all positions of the whole text.  Words are the windows: the
-state starts anew at white space, and what is longer than ``WINDOW`` bytes is
-read in stretches of that length.  So a position's label depends on its word
-alone, and a batch's distinct words need to be read only once, which changes
-no result.  The network is trained in numpy by backpropagation through time,
-written out below.  Gates are piecewise linear, which is exact and cheap.
+The network reads the bytes of a text, blanks included, forwards and backwards and
+labels every byte position with probabilities of the languages; a document's
+probabilities are the mean over all positions of the whole text.  It reads
+overlapping windows: ``CORE`` positions that it labels, and ``MARGIN`` more on either
+side that only bring the states up.  Outside the text there are blanks.  So a
+position's label depends on its own text alone, whatever else is in a batch.  The
+network is trained in numpy by backpropagation through time, written out below.
+Gates are piecewise linear, which is exact and cheap.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 ties go to the language that sorts first; rows with null language aren't learnt
 from; with nothing to learn from every language is ``und``.  Language, source and
-id are never inputs.  Other columns are ignored, whatever they are called; an
-empty table gives an empty table.
+id are never inputs.  Repeated rows give repeated rows; other columns are ignored,
+whatever they are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,13 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW = 24
+from memloom.llm._common import bounded_sample
+
+CORE, MARGIN = 48, 8
+WINDOW = CORE + 2 * MARGIN
+#: Windows that are read at once.
+_AT_ONCE = 2048
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -57,29 +61,69 @@ class ByteTagger:
     langs: list[str]
     p: dict[str, np.ndarray]
 
-    def positions(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the sum of its positions' probabilities, and its length."""
-        sums = np.zeros((len(words), len(self.langs)), np.float32)
-        sizes = np.array([len(w) for w in words], np.int64)
-        owner, pieces = [], []
-        for k, w in enumerate(words):
-            if len(w) <= WINDOW:
-                owner.append(k)
-                pieces.append(w)
-            else:
-                for at in range(0, len(w), WINDOW):
-                    owner.append(k)
-                    pieces.append(w[at : at + WINDOW])
-        lengths = np.array([len(w) for w in pieces], np.int64)
-        owner = np.array(owner, np.int64)
-        for n in np.unique(lengths[lengths > 0]):
-            rows = np.flatnonzero(lengths == n)
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                x = np.frombuffer(b"".join(pieces[k] for k in part), np.uint8).reshape(len(part), n)
-                probs = _tag(self.p, x)[0]
-                np.add.at(sums, owner[part], probs.sum(1))
-        return sums, sizes
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the mean of its positions' probabilities; zeros if it is empty."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        x, inside, owner = windows(texts)
+        sums = np.zeros((len(texts), len(self.langs)))
+        for at in range(0, len(owner), _AT_ONCE):
+            part = slice(at, at + _AT_ONCE)
+            np.add.at(sums, owner[part], _core_sums(self.p, x[part], inside[part]))
+        return sums / np.maximum(sizes, 1)[:, None]
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all texts (one row each), how many of a window's core positions
+    are inside its text, and whose it is."""
+    counts = np.array([-(-len(t) // CORE) for t in texts], np.int64)
+    side = b" " * MARGIN
+    raw = np.frombuffer(b"".join(side + t + b" " * (-len(t) % CORE) + side for t in texts if t), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    # each text before has its cores and two margins in raw
+    starts = np.arange(len(owner)) * CORE + 2 * MARGIN * np.repeat(np.cumsum(counts > 0) - (counts > 0), counts)
+    sizes = np.array([len(t) for t in texts], np.int64)[owner]
+    x = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[starts] if len(owner) else np.empty((0, WINDOW), np.uint8)
+    return x, np.minimum(CORE, sizes - nth * CORE), owner
+
+
+def _states(p: dict, x: np.ndarray, way: str) -> np.ndarray:
+    """The states of one direction at the core positions: (positions, windows, hidden)."""
+    wh = p[f"{way}h"]
+    n = wh.shape[0]
+    # the gates' slope and offset go into their weights
+    scale = np.concatenate([np.full(2 * n, 0.25), np.ones(n)]).astype(np.float32)
+    table = (p[f"{way}x"] * scale + np.concatenate([np.full(2 * n, 0.5), np.zeros(n)])).astype(np.float32)
+    gates_h, content_h = np.ascontiguousarray(0.25 * wh[:, : 2 * n]).astype(np.float32), np.ascontiguousarray(wh[:, 2 * n :])
+    h = np.zeros((len(x), n), np.float32)
+    out = np.empty((CORE, len(x), n), np.float32)
+    columns = np.ascontiguousarray(x.T)
+    for t in range(WINDOW - MARGIN) if way == "f" else range(WINDOW - 1, MARGIN - 1, -1):
+        gx = table.take(columns[t], 0)
+        gates = h @ gates_h
+        gates += gx[:, : 2 * n]
+        np.maximum(gates, 0, out=gates)
+        np.minimum(gates, 1, out=gates)
+        c = (gates[:, n:] * h) @ content_h
+        c += gx[:, 2 * n :]
+        np.maximum(c, -1, out=c)
+        np.minimum(c, 1, out=c)
+        c -= h
+        c *= gates[:, :n]
+        h += c
+        if MARGIN <= t < MARGIN + CORE:
+            out[t - MARGIN] = h
+    return out
+
+
+def _core_sums(p: dict, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """For each window the sum of the probabilities at its core positions inside the text."""
+    n = p["fh"].shape[0]
+    logits = _states(p, x, "f") @ p["o"][:n] + _states(p, x, "b") @ p["o"][n:] + p["ob"]
+    logits -= logits.max(-1, keepdims=True)
+    e = np.exp(logits, out=logits)
+    e *= ((np.arange(CORE)[:, None] < inside[None, :]) / e.sum(-1))[:, :, None].astype(np.float32)
+    return e.sum(0)
 
 
 def _run(p: dict, x: np.ndarray, way: str) -> list[tuple]:
@@ -124,80 +168,70 @@ def _through_time(p: dict, x: np.ndarray, steps: list[tuple], dstates: np.ndarra
         dh = dh * (1 - z) + drh * r + dg @ wh[:, : 2 * n_hidden].T
 
 
-def train(texts: list[str], langs: list[str], hidden: int = 12, words_per_text: int = 40, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 11) -> ByteTagger:
-    """Fit the network on words drawn evenly from the whole of each text."""
+def gradients(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Cross-entropy summed over all positions, weighted position by position, and its gradients."""
+    probs, forward, backward, both = _tag(p, x)
+    rows = np.arange(len(x))
+    loss = -(weight * np.log(probs[rows, :, target])).sum()
+    d = probs.copy()
+    d[rows, :, target] -= 1
+    d *= weight[:, :, None]
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g["o"] += np.einsum("nth,ntl->hl", both, d)
+    g["ob"] += d.sum((0, 1))
+    dboth, hidden = d @ p["o"].T, p["fh"].shape[0]
+    _through_time(p, x, forward, dboth[:, :, :hidden], "f", g)
+    _through_time(p, x, backward, dboth[:, :, hidden:], "b", g)
+    return float(loss), g
+
+
+def train(texts: list[str], langs: list[str], hidden: int = 12, windows_per_text: int = 6, epochs: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 11) -> ByteTagger:
+    """Fit the network by Adam on windows drawn evenly from the whole of each text."""
     names = sorted(set(langs))
     if not names:
         return ByteTagger([], {})
     rng = np.random.default_rng(seed)
-    words, target = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        own = (text or "").encode("utf-8", "surrogatepass").split()
-        for k in rng.choice(len(own), min(words_per_text, len(own)), replace=False) if own else []:
-            at = WINDOW * int(rng.integers(-(-len(own[k]) // WINDOW)))
-            words.append(own[k][at : at + WINDOW])
-            target.append(names.index(lang))
-    target = np.array(target, np.int64)
-    lengths = np.array([len(w) for w in words], np.int64)
+    x, inside, owner = windows([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    order = rng.permutation(len(owner))
+    first = np.argsort(owner[order], kind="stable")
+    place = np.arange(len(owner)) - np.searchsorted(owner[order][first], owner[order][first])
+    chosen = order[first[place < windows_per_text]]
+    x, inside = x[chosen], inside[chosen]
+    target = np.array([names.index(v) for v in langs], np.int64)[owner[chosen]]
+    at = np.arange(WINDOW)
+    learnt = ((at >= MARGIN) & (at[None, :] < MARGIN + inside[:, None])).astype(np.float32)
     init = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
     n_lang = len(names)
     p = {"fx": init(256, 3 * hidden), "fh": init(hidden, 3 * hidden), "bx": init(256, 3 * hidden), "bh": init(hidden, 3 * hidden), "o": init(2 * hidden, n_lang), "ob": np.zeros(n_lang, np.float32)}
     m1, m2, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    share = np.bincount(target, minlength=n_lang) / max(1, len(target))
-    weight = np.where(share > 0, 1 / np.maximum(n_lang * share, 1e-9), 0)  # every language counts as much as any other
+    share = np.bincount(target, learnt.sum(1), n_lang) / max(1.0, learnt.sum())
+    even = np.where(share > 0, 1 / np.maximum(n_lang * share, 1e-9), 0)  # every language counts as much as any other
     for epoch in range(epochs):
-        batches = []
-        for n in np.unique(lengths):
-            rows = rng.permutation(np.flatnonzero(lengths == n))
-            batches += [rows[at : at + batch] for at in range(0, len(rows), batch)]
-        for k in rng.permutation(len(batches)):
-            rows = batches[k]
-            x = np.frombuffer(b"".join(words[i] for i in rows), np.uint8).reshape(len(rows), -1)
-            probs, forward, backward, both = _tag(p, x)
-            d = probs.copy()
-            d[np.arange(len(rows)), :, target[rows]] -= 1
-            d *= (weight[target[rows]] / (len(rows) * x.shape[1]))[:, None, None].astype(np.float32)
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            g["o"] += np.einsum("nth,ntl->hl", both, d)
-            g["ob"] += d.sum((0, 1))
-            dboth = d @ p["o"].T
-            _through_time(p, x, forward, dboth[:, :, :hidden], "f", g)
-            _through_time(p, x, backward, dboth[:, :, hidden:], "b", g)
+        shuffled = rng.permutation(len(x))
+        for first_row in range(0, len(x), batch):
+            rows = shuffled[first_row : first_row + batch]
+            weight = learnt[rows] * even[target[rows]][:, None].astype(np.float32)
+            _, g = gradients(p, x[rows], target[rows], (weight / max(1.0, learnt[rows].sum())).astype(np.float32))
             t += 1
             step = rate / (1 + epoch)
-            for k2 in p:
-                m1[k2] += 0.1 * (g[k2] - m1[k2])
-                m2[k2] += 0.001 * (g[k2] * g[k2] - m2[k2])
-                p[k2] -= (step * (m1[k2] / (1 - 0.9**t)) / (np.sqrt(m2[k2] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+            for k in p:
+                m1[k] += 0.1 * (g[k] - m1[k])
+                m2[k] += 0.001 * (g[k] * g[k] - m2[k])
+                p[k] -= (step * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return ByteTagger(names, p)
 
 
 def predict(model: ByteTagger, texts: pa.Array) -> tuple[list[str], list[float]]:
     """The language and its probability for each text."""
-    n = len(texts)
-    no_letter = np.array([x.as_py() is None or not _LETTER.search(x.as_py()) for x in texts], bool)
-    if not n or not model.langs:
-        return ["und"] * n, [0.0] * n
-    words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-    if isinstance(words, pa.ChunkedArray):
-        words = words.combine_chunks()
-    offsets = np.asarray(words.offsets)
-    flat = words.flatten()
-    coded = flat.dictionary_encode()
-    sums, sizes = model.positions(coded.dictionary.cast(pa.large_binary()).to_pylist())
-    index = np.asarray(coded.indices)
-    offsets = offsets - offsets[0]
-    total = np.zeros((n, len(model.langs)))
-    count = np.zeros(n)
-    for k in range(len(model.langs)):
-        run = np.concatenate([[0.0], np.cumsum(sums[index, k], dtype=np.float64)])
-        total[:, k] = run[offsets[1:]] - run[offsets[:-1]]
-    run = np.concatenate([[0], np.cumsum(sizes[index])])
-    count[:] = run[offsets[1:]] - run[offsets[:-1]]
-    mean = total / np.maximum(count, 1)[:, None]
-    best = mean.argmax(1)
-    names = ["und" if no_letter[k] else model.langs[best[k]] for k in range(n)]
-    return names, [0.0 if no_letter[k] else float(min(1.0, max(0.0, mean[k, best[k]]))) for k in range(n)]
+    own = [x or "" for x in texts.to_pylist()]
+    known = [bool(model.langs) and _LETTER.search(x) is not None for x in own]
+    names, scores = ["und"] * len(own), [0.0] * len(own)
+    rows = np.flatnonzero(known)
+    if len(rows):
+        mean = model.pooled([own[k].encode("utf-8", "surrogatepass") for k in rows])
+        for k, best, share in zip(rows.tolist(), mean.argmax(1).tolist(), mean.max(1).tolist(), strict=True):
+            names[k], scores[k] = model.langs[best], min(1.0, max(0.0, share))
+    return names, scores
 
 
 def held_out(id_col: str = "doc_id"):
@@ -205,18 +239,17 @@ def held_out(id_col: str = "doc_id"):
     return F.expr(f"crc32(encode(CAST(`{id_col}` AS STRING), 'UTF-8')) % 4 = 2")
 
 
-def fit_langid(docs: DataFrame, max_docs: int = 1500) -> ByteTagger:
-    """Learn from rows with a language that aren't held out; ``max_docs`` bounds
-    what comes to the driver: those with the smallest hash of their id."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text", "lang").limit(2 * max_docs).collect()
+def fit_langid(docs: DataFrame, max_docs: int = 1500, max_bytes: int = 32 << 20) -> ByteTagger:
+    """Learn from rows with a language that aren't held out: of those with the
+    ``max_docs`` smallest hashes of their id as many as ``max_bytes`` hold."""
+    known = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
+    rows = bounded_sample(known, max_docs, max_bytes)
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-#: Rows whose words are gathered at once.
-_ROWS = 2000
+#: Rows whose windows are gathered at once.
+_ROWS = 200
 
 
 def identify_language(docs: DataFrame, model: ByteTagger) -> DataFrame:

@@ -43,6 +43,8 @@ _PLACE = 40
 _SHORT, _NONE = 48, 1 << 62
 #: Characters of stretches that wait for a check by the library, at most about.
 _CHECK_CHARS = 1 << 20
+#: Stretches that are remembered, in each of two generations, and odd ones among them.
+_KEPT, _ODD = 450_000, 100_000
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 
@@ -108,8 +110,9 @@ class PieceCodec:
             raise ValueError("the vocabulary lacks byte pieces")
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.shown = {i: p.replace(MARK, " ") for i, (p, _, kind) in enumerate(self.pieces) if kind == _NORMAL}
-        self.memo: Memo = Memo(self._known, 300_000)
-        self.packed: Memo = Memo(self._packed, 300_000)
+        self.memo: Memo = Memo(self._known, _KEPT)
+        self.packed: Memo = Memo(self._packed, _KEPT)
+        self.odd: dict[str, str] = {}  # stretches that don't decode to themselves
         self.fresh: list[tuple[str, list[int], str]] = []  # stretches computed since the last check
         self.n_fresh = 0
 
@@ -172,23 +175,33 @@ class PieceCodec:
                     ids += [self.byte_id[b] for b in s.encode("utf-8", "surrogatepass")]
         return ids
 
-    def _computed(self, stretch: str) -> tuple[list[int], str]:
+    def _computed(self, stretch: str) -> list[int]:
         ids = self.stretch_ids(stretch)
         spelt = self._spell(ids)
+        if spelt != stretch.replace(MARK, " "):
+            if len(self.odd) >= _ODD:  # the memos mustn't know what odd no longer tells
+                self.memo.forget()
+                self.packed.forget()
+                self.odd.clear()
+            self.odd[stretch] = spelt
         if self.library is not None:
             self.fresh.append((stretch, ids, spelt))
             self.n_fresh += len(stretch)
             if self.n_fresh > _CHECK_CHARS:
                 self.check()
-        return ids, spelt
+        return ids
+
+    def _known(self, stretch: str) -> str:
+        return ",".join(map(str, self._computed(stretch)))
 
-    def _known(self, stretch: str) -> tuple[int, str, str]:
-        ids, spelt = self._computed(stretch)
-        return len(ids), ",".join(map(str, ids)), spelt
+    def _packed(self, stretch: str) -> bytes:
+        return array("i", self._computed(stretch)).tobytes()
 
-    def _packed(self, stretch: str) -> tuple[bytes, str]:
-        ids, spelt = self._computed(stretch)
-        return array("i", ids).tobytes(), spelt
+    def _shown(self, text: str, stretches: list[str]) -> str:
+        """The decoded text: what its stretches decode to, most of them to themselves."""
+        if self.odd.keys().isdisjoint(stretches):
+            return text.replace(MARK, " ")
+        return "".join(self._spell(self.stretch_ids(s)) if s in self.odd else s.replace(MARK, " ") for s in stretches).removeprefix(" ")
 
     def check(self) -> None:
         """Compare the stretches computed since the last check with the library, all in
@@ -230,15 +243,16 @@ class PieceCodec:
         """Number of ids, the ids joined by commas, and the decoded text."""
         if not text:
             return 0, "", ""
-        counts, ids, shown = zip(*map(self.memo.__getitem__, self.stretches(text)), strict=True)
-        return sum(counts), ",".join(ids), "".join(shown).removeprefix(" ")
+        stretches = self.stretches(text)
+        ids = ",".join(map(self.memo.__getitem__, stretches))
+        return ids.count(",") + 1, ids, self._shown(text, stretches)
 
     def numbers(self, text: str) -> tuple[bytes, str]:
         """The ids as 32-bit numbers in a row, and the decoded text."""
         if not text:
             return b"", ""
-        ids, shown = zip(*map(self.packed.__getitem__, self.stretches(text)), strict=True)
-        return b"".join(ids), "".join(shown).removeprefix(" ")
+        stretches = self.stretches(text)
+        return b"".join(map(self.packed.__getitem__, stretches)), self._shown(text, stretches)
 
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memloom.llm._common import bounded_sample
+
 PASSAGE = 512
 _KINDS = 14
 
@@ -166,16 +168,17 @@ def held_out(id_col: str = "doc_id"):
     return F.expr(f"crc32(encode(CAST(`{id_col}` AS STRING), 'UTF-8')) % 5 = 0")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Attention:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_bytes: int = 64 << 20) -> Attention:
     """Learn from labelled rows that aren't held out.
 
-    ``max_docs`` bounds what is brought to the driver: of the labelled rows,
-    those with the smallest hash of their id, an even sample at any size.
+    ``max_docs`` bounds the labels that are used, those with the smallest hash of
+    their id, an even sample at any size; of their documents as many as ``max_bytes``
+    hold come to the driver.
     """
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).select("doc_id", "quality")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.orderBy("doc_id", "quality", "text").limit(2 * max_docs).collect()
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs).distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = bounded_sample(texts, max_docs, max_bytes)
     return train([r["text"] for r in rows], [int(r["quality"]) for r in rows])
 
 
