@@ -12,13 +12,12 @@ differ by more than the radius in sum: then no pair of theirs can be near.  A
 comparison returns at most one row for each of its fingerprints, a link to the
 smallest one of its group within the pair of tiles, and never a group's pairs.
 
-near_duplicates() does this with 64 bits for each row.  similar_documents() finds
-documents whose sets of shingles have at least a given Jaccard similarity: it takes
-``BITS`` bits and a radius that such pairs keep within, and then compares the sets
-themselves inside the groups.  At similarity 0.8 two fingerprints differ in 38.8 of
-256 bits on average with a deviation of 5.7, those of unrelated texts in 128 with
-one of 8; so a radius of 60 loses one pair in 10,000 right at 0.8, fewer above it,
-and brings hardly any unrelated ones together.
+near_duplicates() does this with 64 bits for each row.  similar_documents() does it with
+``BITS`` bits of the set of shingles of each document, which tell its Jaccard similarity
+to another: at 0.8 two fingerprints differ in 155 of 1024 bits on average with a deviation
+of 11.5, at 0.85 in 132, at 0.75 in 177, at 0.7 in 196 and those of unrelated texts in 512.
+``REACH`` is one deviation beyond 155.  So a pair is linked with a probability of 0.84
+right at 0.8, of 0.998 at 0.85, and of 0.002 at 0.7.
 
 Defined results: a null text is an empty one; a text without words has the
 fingerprint zero and is linked like any other; a text of fewer words than a
@@ -56,12 +55,11 @@ TILE = 16384
 _BLOCK = 256
 #: Fingerprints that a cell should hold at least on average, over some 26 x 26 likely pairs of counts.
 _CELL = 4096
-#: Of a document whose set of shingles is compared with others'.
-BITS, REACH = 256, 60
-#: Groups of so many sets are compared all with all at once.
-SMALL = 16
-#: Of larger ones so many members, on average, are compared with all others first.
-LEADERS = 4
+#: Fingerprints of sets of shingles: bits, radius, and fingerprints of a tile.
+BITS, REACH = 1024, 166
+WIDE_TILE = 32768
+#: Words of a fingerprint that are compared for all pairs; the others only where these are within the radius.
+_FIRST = 8
 #: Texts that are split at a time, so that a batch's words don't fill a worker's memory.
 _TEXTS = 200
 
@@ -142,7 +140,7 @@ def near_groups(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
 
     def apart(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         out = np.bitwise_count(left[rows, 0][:, None] ^ other[cols, 0][None, :]).astype(kind, copy=False)
-        for k in range(1, width):
+        for k in range(1, min(width, _FIRST)):
             out += np.bitwise_count(left[rows, k][:, None] ^ other[cols, k][None, :])
         return out
 
@@ -154,9 +152,15 @@ def near_groups(left: np.ndarray, right: np.ndarray | None, radius: int) -> tupl
             near = np.flatnonzero(gap <= radius)
             if right is None:
                 near = near[near >= k]
-            for at in range(0, len(near), 16):
-                cols = np.concatenate([theirs[j][0] for j in near[at : at + 16]])
-                i, j = np.nonzero(apart(rows, cols) <= radius)
+            step = 16 if width == 1 else 4
+            for at in range(0, len(near), step):
+                cols = np.concatenate([theirs[j][0] for j in near[at : at + step]])
+                some = apart(rows, cols)
+                i, j = np.nonzero(some <= radius)
+                if width > _FIRST and len(i):
+                    rest = np.bitwise_count(left[rows[i], _FIRST:] ^ other[cols[j], _FIRST:]).sum(1, dtype=np.int64)
+                    close = some[i, j] + rest <= radius
+                    i, j = i[close], j[close]
                 if len(i):
                     yield rows[i], cols[j] + shift
 
@@ -288,11 +292,6 @@ def set_fingerprint(own: np.ndarray) -> np.ndarray:
 
 
 _SET_PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("t", T.LongType()), T.StructField("key", T.StringType()), T.StructField("words", T.ArrayType(T.LongType()))])
-_SETS = T.StructType([T.StructField("key", T.StringType()), T.StructField("own", T.ArrayType(T.LongType()))])
-
-
-def _key(own: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(own.tobytes())
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,14 +301,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_prints(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, t, key, words) of (doc_id, t, text): the key of the set of shingles and its fingerprint."""
+    """(doc_id, t, key, words) of (doc_id, t, text): the fingerprint of the set of shingles, and a key for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            keys, prints = [], []
-            for own in shingle_sets(batch.column(2), width):
-                keys.append(_key(own))
-                prints.append(set_fingerprint(own))
+            prints = [set_fingerprint(own) for own in shingle_sets(batch.column(2), width)]
+            keys = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in prints]
             flat = pa.array(np.concatenate(prints).view(np.int64))
             words = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (BITS // 64), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string()), words], names=_SET_PRINTS.names)
@@ -317,59 +314,7 @@ def _set_prints(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, _SET_PRINTS)
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(key, own) of (text): the sets themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            every = list(shingle_sets(batch.column(0), width))
-            yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in every], pa.string()), pa.array([x.view(np.int64) for x in every], pa.list_(pa.int64()))], names=_SETS.names)
-
-    return texts.mapInArrow(run, _SETS)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) that are similar, by their sets."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")).hint("merge"), "b")
-    top = round(similarity * 1000)
-    shared = F.size(F.array_intersect("x", "y"))
-    # |x & y| / |x | y| without division
-    return both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("i") * 1000 >= (F.col("n") - F.col("i")) * top).select("a", "b")
-
-
-_APART = "aggregate(zip_with(x, y, (u, v) -> bit_count(u ^ v)), 0, (s, n) -> s + n)"
-
-
-def similar_links(groups: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b) between similar sets of one group (h, key, words) whose fingerprints
-    are within the radius; their components are those of all such pairs.
-
-    In a small group all pairs are compared; in a large one a few leaders with all
-    members, and then those that are outside its largest component with all of other
-    components.  So a large group of near copies costs a few comparisons for each member,
-    and nothing is capped: all pairs are compared or known to be of one component.
-    """
-    sizes = durable(groups.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("least")))
-    leads = F.expr(f"key = least OR n <= {SMALL} OR pmod(xxhash64(key, h), n) < {LEADERS}")
-    placed = durable(groups.join(sizes.hint("merge"), "h").select("h", "key", "words", "n", leads.alias("leads")))
-    # every leader with every other member; of two leaders the smaller leads
-    members = placed.select("h", F.col("key").alias("b"), F.col("words").alias("y"), F.col("leads").alias("also"))
-    met = placed.filter("leads").select("h", F.col("key").alias("a"), F.col("words").alias("x")).join(members.hint("merge"), "h").filter(f"a <> b AND (NOT also OR a < b) AND {_APART} <= {radius}")
-    met = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = durable(_verified(met, sets, similarity))
-    # in large groups that aren't one component yet, whoever isn't in its largest one with all of other components
-    large = placed.filter(f"n > {SMALL}").select("h", "key", "words")
-    roots = smallest_reachable(links).withColumnRenamed("node", "key")
-    told = durable(large.join(roots.hint("merge"), "key", "left").select("h", "key", "words", F.coalesce("root", "key").alias("root")))
-    main = durable(told.groupBy("h", "root").count().groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("most")).filter("roots > 1").select("h", F.col("most.root").alias("main")))
-    open_ = durable(told.join(main.hint("merge"), "h").select("h", "key", "words", "root", (F.col("root") != F.col("main")).alias("minor")))
-    others = open_.select("h", F.col("key").alias("b"), F.col("words").alias("y"), F.col("root").alias("rb"), F.col("minor").alias("also"))
-    crossing = open_.filter("minor").select("h", F.col("key").alias("a"), F.col("words").alias("x"), F.col("root").alias("ra")).join(others.hint("merge"), "h").filter(f"ra <> rb AND (NOT also OR a < b) AND {_APART} <= {radius}")
-    crossing = durable(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met.hint("merge"), ["a", "b"], "left_anti"))
-    return links.union(durable(_verified(crossing, sets, similarity)))
-
-
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per distinct document of docs, by id and text: doc_id, t (the hash xxhash64 of its
     text), component_id (the smallest id of its group) and stays, true for one document
     of each group."""
@@ -377,14 +322,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     prints = durable(_set_prints(rows, width))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("head")
     distinct = durable(prints.groupBy("key").agg(head, F.first("words").alias("words")))
-    coarse = smallest_reachable(near_links(distinct.select(F.col("key").alias("node"), "words"), radius, bits=BITS))
-    groups = durable(coarse.select(F.col("node").alias("key"), F.col("root").alias("h")).join(distinct.hint("merge"), "key").select("h", "key", "words", "head"))
-    # of each of these sets the text is read again, that of its head
-    wanted = groups.select(F.col("head.doc_id").alias("d"), F.col("head.t").alias("t1")).distinct()
-    texts = rows.join(wanted.hint("merge"), F.expr("doc_id <=> d AND t = t1"), "left_semi").select("text")
-    sets = durable(_sets(texts, width).dropDuplicates(["key"]))
-    roots = smallest_reachable(similar_links(groups.select("h", "key", "words"), sets, similarity, radius))
-    named = durable(distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "head", F.coalesce("root", "key").alias("root")))
+    roots = smallest_reachable(near_links(distinct.select(F.col("key").alias("node"), "words"), radius, WIDE_TILE, BITS))
+    named = durable(distinct.select("key", "head").join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("key", "head", F.coalesce("root", "key").alias("root")))
     least = durable(named.groupBy("root").agg(F.min("head").alias("first")))
     of_set = durable(named.join(least.hint("merge"), "root").select("key", "first"))
     out = prints.select("doc_id", "t", "key").distinct().join(of_set.hint("merge"), "key")

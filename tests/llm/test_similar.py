@@ -32,40 +32,84 @@ def test_sets_of_slices():
 def test_set_fingerprint_by_hand():
     own = np.array([3, 1 << 60, 77, 5], np.uint64)
     hashes = [[int(simhash._mix(np.array([h * m], np.uint64))[0]) for m in simhash._MULTIPLY] for h in own]
-    want = [sum(1 << b for b in range(64) if 2 * sum(h[k] >> b & 1 for h in hashes) > 4) for k in range(4)]
+    want = [sum(1 << b for b in range(64) if 2 * sum(h[k] >> b & 1 for h in hashes) > 4) for k in range(16)]
     assert simhash.set_fingerprint(own).tolist() == want
-    assert simhash.set_fingerprint(np.empty(0, np.uint64)).tolist() == [0] * 4
+    assert simhash.set_fingerprint(np.empty(0, np.uint64)).tolist() == [0] * 16
     many = np.arange(1000, dtype=np.uint64)
     part = simhash._mix(many[:, None] * simhash._MULTIPLY)
-    assert simhash.set_fingerprint(many).tolist() == [sum(1 << b for b in range(64) if 2 * int((part[:, k] >> np.uint64(b) & np.uint64(1)).sum()) > 1000) for k in range(4)]
+    assert simhash.set_fingerprint(many).tolist() == [sum(1 << b for b in range(64) if 2 * int((part[:, k] >> np.uint64(b) & np.uint64(1)).sum()) > 1000) for k in range(16)]
+
+
+def grouped(n, linked):
+    root = list(range(n))
+    for a in range(n):
+        for b in range(a + 1, n):
+            if root[a] != root[b] and linked(a, b):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
 
 
 def test_groups_match_brute_force(spark):
     docs = []
-    for size in (1, 2, 3, 5, 60):  # the last group is larger than SMALL
+    for size in (1, 2, 3, 5, 60):
         base = words(200)
         for _ in range(size):
             own = list(base)
-            for _ in range(RNG.randint(0, 5)):
+            for _ in range(RNG.randint(0, 9)):
                 own[RNG.randrange(200)] = RNG.choice(WORDS)
             docs.append(" ".join(own))
     docs += [None, "", " \n", "one two", "ONE  two", "one three"]
     RNG.shuffle(docs)
     rows = [(k, t) for k, t in enumerate(docs)] + [(3, docs[3]), (None, docs[5]), (None, "alone"), (None, "alone")]
-    got = simhash.similar_documents(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, component_id int")).collect()
-    own = [shingles(t) for t in docs]
-    root = list(range(len(docs)))
-    for a in range(len(docs)):
-        for b in range(a + 1, len(docs)):
-            if jaccard(own[a], own[b]) >= 0.8:
-                x, y = root[a], root[b]
-                root = [min(x, y) if r in (x, y) else r for r in root]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, component_id int")
+    got = simhash.similar_documents(df).collect()
+    prints = [np.array(simhash.set_fingerprint(x)) for x in simhash.shingle_sets(pa.array(docs), 5)]
+    root = grouped(len(docs), lambda a, b: int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= simhash.REACH)
     assert len(got) == len(docs) + 2  # rows of equal id and text are one document
     assert all(r.component_id == root[r.doc_id] and r.stays == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
     assert sorted((r.component_id is None, r.stays) for r in got if r.doc_id is None) == [(False, False), (True, True)]
     assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_fingerprints_tell_similarity():
+    close = far = linked = lost = 0
+    for _ in range(150):
+        n = RNG.choice((40, 200, 600))
+        a = words(n)
+        b = list(a)
+        for k in RNG.sample(range(n), RNG.randint(1, max(1, n // 12))):
+            b[k] = RNG.choice(WORDS)
+        texts = [" ".join(a), " ".join(b)]
+        similar = jaccard(*map(shingles, texts))
+        x, y = (simhash.set_fingerprint(s) for s in simhash.shingle_sets(pa.array(texts), 5))
+        near = int(np.bitwise_count(x ^ y).sum()) <= simhash.REACH
+        if similar >= 0.84:
+            close, lost = close + 1, lost + (not near)
+        elif similar <= 0.7:
+            far, linked = far + 1, linked + near
+    assert close >= 10 and far >= 10 and lost <= 1 and linked <= 1
+
+
+def test_wide_tiles_find_every_group(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**62), 2**62, (40, 16))
+    near = []
+    for b in base:
+        for _ in range(4):
+            own = b.copy()
+            for bit in rng.choice(1024, int(rng.integers(1, 120)), replace=False):
+                own[bit // 64] ^= np.int64(1) << np.int64(bit % 64)
+            near.append(own)
+    every = np.unique(np.concatenate([base, near]), axis=0)
+    links = simhash.near_links(spark.createDataFrame([(f"{k:04d}", [int(x) for x in w]) for k, w in enumerate(every)], "node string, words array<long>"), 166, 50, 1024).collect()
+    by_links = list(range(len(every)))
+    for r in links:
+        x, y = by_links[int(r.a)], by_links[int(r.b)]
+        by_links = [min(x, y) if q in (x, y) else q for q in by_links]
+    assert by_links == grouped(len(every), lambda a, b: int(np.bitwise_count(every[a].view(np.uint64) ^ every[b].view(np.uint64)).sum()) <= 166)
+
+
 def test_fingerprint_by_hand():
     """The 64-bit fingerprint, from the rule alone: bytes hashed by a library, bits counted one by one."""
     import re
