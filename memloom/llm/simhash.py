@@ -181,7 +181,8 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE, bits: int
     width, half = bits // 64, bits // 2
     # cells are as wide as leaves each some thousand fingerprints, if there are as many
     grain, n = bits, distinct.count()
-    while grain > 1 and n * (grain // 2) ** 2 >= _CELL * 676 * width:
+    # where the radius is as wide as the counts spread (some eight deviations of each half), cells rule nothing out
+    while 2 * radius < bits // 4 and grain > 1 and n * (grain // 2) ** 2 >= _CELL * 676 * width:
         grain //= 2
     counts = "aggregate(slice(words, {0}, {1}), 0, (s, x) -> s + bit_count(x))"
     if width == 1:
