@@ -43,8 +43,10 @@ _PLACE = 40
 _SHORT, _NONE = 48, 1 << 62
 #: Characters of stretches that wait for a check by the library, at most about.
 _CHECK_CHARS = 1 << 20
+#: Documents that are encoded between two batches of results.
+_ROWS = 640
 #: Stretches that are remembered, in each of two generations, and odd ones among them.
-_KEPT, _ODD = 450_000, 100_000
+_KEPT, _ODD = 250_000, 50_000
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 
@@ -271,18 +273,25 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _checked(library, text: str, ids: str, shown: str) -> None:
     known = library.encode(text, num_threads=1) if text else []
     if ",".join(map(str, known)) != ids or library.decode(known) != shown:
         raise ValueError("the encoder and the sentencepiece library differ")
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = 64) -> DataFrame:
-    """Per row of docs: id, ids and the text decoded from them."""
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = 64, digest: bool = False) -> DataFrame:
+    """Per row of docs: id, ids and the text decoded from them; with digest, the text's
+    SHA-256 in its place (decoded_sha256)."""
+    out = FULL if not digest else T.StructType([*FULL.fields[:2], T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, library = _codec(model)
-        for batch in batches:
+        # in short batches, as each holds all of its ids and texts
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             packed, texts = [], []
             for k, x in enumerate(batch.column(1)):
                 text = x.as_py() or ""
@@ -290,13 +299,13 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 if k % check_every == 0:
                     _checked(library, text, ",".join(map(str, np.frombuffer(ids, np.int32).tolist())), shown)
                 packed.append(ids)
-                texts.append(shown)
+                texts.append(_sha(shown) if digest else shown)
             codec.check()
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=FULL.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=out.names)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, FULL)
+    return _texts(docs, id_col, text_col).mapInArrow(run, out)
 
 
 def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = 64) -> DataFrame:
@@ -304,8 +313,7 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, library = _codec(model)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             counts, ids_sha, text_sha = [], [], []
             for k, x in enumerate(batch.column(1)):
                 text = x.as_py() or ""
@@ -313,8 +321,8 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
                 if k % check_every == 0:
                     _checked(library, text, ids, shown)
                 counts.append(n)
-                ids_sha.append(sha(ids))
-                text_sha.append(sha(shown))
+                ids_sha.append(_sha(ids))
+                text_sha.append(_sha(shown))
             codec.check()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=OUT.names)
 

@@ -184,7 +184,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_by
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 #: Passages that are scored at once.
-_AT_ONCE = 8192
+_AT_ONCE = 4096
+#: Rows that are copied at once.
+_ROWS = 640
 
 
 def _score_texts(model: Attention, texts: Iterator[str | None]) -> list[float]:
@@ -227,7 +229,7 @@ def keep_quality(docs: DataFrame, model: Attention, threshold: float = 0.3) -> D
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             scores = _score_texts(model, (x.as_py() for x in batch.column(place)))
             yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
