@@ -61,8 +61,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as ids: doc_id, n_tokens and ids, with a digest of the text that
     the ids decode to."""
-    done = piece_bpe.encode_documents(docs, vocabulary("piece_bpe_32k.model"))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = piece_bpe.encode_documents(docs, vocabulary("piece_bpe_32k.model"), digest=True)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
