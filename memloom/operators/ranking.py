@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from memloom.functions import text as tx
 from memloom.operators.graph import top_by
+from memloom.sources.tables import durable
 
 #: Constants of the two fusions.
 RRF_K = 60
 
 
+#: What of a query batch may go to all tasks: (query, term) rows, and components of vectors.
+MAX_ASKED, MAX_COMPONENTS = 200_000, 1 << 22
+_DOCS, _CELLS = 512, 1 << 22
+
+
+@dataclass(frozen=True)
+class Bm25:
+    """A term's part of a score, over tf, dl, df, n and avgdl, as a column and in numpy."""
+
+    k1: float
+    b: float
+    delta: float
+    idf: Callable
+
+    def column(self) -> Column:
+        tf, norm = F.col("tf"), self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
+        return self.idf(F, F.col("n"), F.col("df")) * (self.delta + tf * (self.k1 + 1) / (tf + norm))
+
+    def values(self, tf, dl, df, n, avgdl):
+        norm = self.k1 * (1 - self.b + self.b * dl / avgdl)
+        return self.idf(_Numpy, n, df) * (self.delta + tf * (self.k1 + 1) / (tf + norm))
+
+
+class _Numpy:
+    log, greatest, lit = staticmethod(np.log), staticmethod(np.maximum), staticmethod(float)
+
+
 class Postings:
     """Term postings of (doc_id, tokens) with the statistics that BM25 needs.
 
@@ -20,38 +56,104 @@ class Postings:
     decides between equal documents."""
 
     def __init__(self, docs: DataFrame, tokens):
-        every = docs.select("doc_id", tokens.alias("tokens"))
-        self.lengths = every.select("doc_id", F.size("tokens").alias("dl"))
-        self.postings = every.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+        self.every = docs.select("doc_id", tokens.alias("tokens"))
+        self.lengths = self.every.select("doc_id", F.size("tokens").alias("dl"))
+        self.postings = self.every.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
         self.df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def totals(self) -> DataFrame:
         """One row: number of documents and mean length."""
         return self.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
-    def score(self, terms: DataFrame, part, keep=None) -> DataFrame:
+    def score(self, terms: DataFrame, part: Bm25, keep=None, top: int | None = None) -> DataFrame:
         """(query_id, doc_id, score): part summed over matching terms.
 
-        terms is (query_id, term) with repeats; part is a column over tf, dl, df, n
-        and avgdl; keep is a condition on documents, applied before any top-k.
+        terms is (query_id, term) with repeats; keep is a frame of documents, applied
+        before any top-k; with top, each query has at least its best so many rows.
+        A batch of at most MAX_ASKED distinct terms of queries goes to all tasks, which
+        multiply matrices; a larger one is joined with the postings.
         """
         asked = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        rows = asked.limit(MAX_ASKED + 1).collect()
+        if len(rows) <= MAX_ASKED:
+            return self._multiplied(rows, terms.schema["query_id"].dataType, part, keep, top)
         wanted = asked.join(self.df, "term")
         hits = self.postings.join(wanted, "term").withColumn("one", F.lit(1)).join(F.broadcast(self.totals().withColumn("one", F.lit(1))), "one")
         if keep is not None:
             hits = hits.join(keep, "doc_id", "left_semi")
-        return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * part), 9).alias("score"))
-
-
-def bm25_plus(k1: float = 1.5, b: float = 0.75, delta: float = 1.0):
-    tf, norm = F.col("tf"), k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    return F.log((F.col("n") + 1) / F.col("df")) * (delta + tf * (k1 + 1) / (tf + norm))
-
-
-def bm25_fts(k1: float = 1.2, b: float = 0.75):
-    tf, norm = F.col("tf"), k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    return idf * tf * (k1 + 1) / (tf + norm)
+        return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * part.column()), 9).alias("score"))
+
+    def counted(self, vocabulary: list[str]) -> DataFrame:
+        """(doc_id, dl, terms, tfs): how often each document has which of the vocabulary's
+        terms, by their places in it."""
+        doc = self.every.schema["doc_id"]
+        out = T.StructType([doc, T.StructField("dl", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(vocabulary, pa.string())
+            for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+                tokens = batch.column(1)
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+                place = np.asarray(pc.fill_null(pc.index_in(tokens.flatten(), known), -1)).astype(np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                cell, tf = np.unique((owner * len(vocabulary) + place)[place >= 0], return_counts=True)
+                ends = np.searchsorted(cell, np.arange(len(sizes) + 1) * len(vocabulary)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (cell % max(1, len(vocabulary)), tf)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), *lists], names=out.names)
+
+        return self.every.mapInArrow(run, out)
+
+    def _multiplied(self, rows: list, query_type: T.DataType, part: Bm25, keep, top: int | None) -> DataFrame:
+        doc = self.every.schema["doc_id"]
+        out = T.StructType([T.StructField("query_id", query_type), doc, T.StructField("score", T.DoubleType())])
+        if not rows:
+            return self.every.sparkSession.createDataFrame([], out)
+        vocabulary = sorted({r["term"] for r in rows})
+        ids = sorted({r["query_id"] for r in rows})
+        at, query_at = {t: k for k, t in enumerate(vocabulary)}, {q: k for k, q in enumerate(ids)}
+        cells = np.array([(at[r["term"]], query_at[r["query_id"]], r["times"]) for r in rows], np.int64)
+        counted = durable(self.counted(vocabulary))
+        df = np.zeros(len(vocabulary))
+        for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term asked for
+            df[r["t"]] = r["count"]
+        n, avgdl = counted.agg(F.count("*").cast("double"), F.avg("dl")).first()
+        query_arrow = to_arrow_type(query_type)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = max(1, _CELLS // len(vocabulary))
+            own = pa.array(ids, query_arrow)
+            for batch in (b.slice(k, _DOCS) for b in batches for k in range(0, b.num_rows, _DOCS)):
+                dl = np.asarray(batch.column(1)).astype(float)
+                sizes = np.asarray(pc.list_value_length(batch.column(2)))
+                term, tf = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in (2, 3))
+                row = np.repeat(np.arange(len(dl)), sizes)
+                parts = np.zeros((len(dl), len(vocabulary)))
+                parts[row, term] = part.values(tf, dl[row], df[term], n, avgdl)
+                docs = np.asarray(batch.column(0))
+                order = np.argsort(docs, kind="stable")
+                for first in range(0, len(ids), block):
+                    mine = cells[(cells[:, 1] >= first) & (cells[:, 1] < first + block)]
+                    times = np.zeros((len(vocabulary), min(block, len(ids) - first)))
+                    times[mine[:, 0], mine[:, 1] - first] = mine[:, 2]
+                    scores = np.round(parts @ times, 9)
+                    hit = scores > 0
+                    if top is not None and top < len(dl):  # by score, then by id
+                        best = order[np.argsort(-scores[order], axis=0, kind="stable")[:top]]
+                        among = np.zeros_like(hit)
+                        np.put_along_axis(among, best, True, 0)
+                        hit &= among
+                    d, q = np.nonzero(hit)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(q + first)), batch.column(0).take(pa.array(d)), pa.array(scores[d, q])], names=out.names)
+
+        return (counted if keep is None else counted.join(keep, "doc_id", "left_semi")).mapInArrow(run, out)
+
+
+def bm25_plus(k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> Bm25:
+    return Bm25(k1, b, delta, lambda f, n, df: f.log((n + 1) / df))
+
+
+def bm25_fts(k1: float = 1.2, b: float = 0.75) -> Bm25:
+    return Bm25(k1, b, 0.0, lambda f, n, df: f.greatest(f.log((n - df + 0.5) / (df + 0.5)), f.lit(1e-6)))
 
 
 def bm25_okapi(postings: Postings, terms: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -86,26 +188,61 @@ def cosine(a, b):
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, skip_own: bool = False, max_queries: int = 100_000, by=("query_id",)) -> DataFrame:
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, skip_own: bool = False, max_components: int = MAX_COMPONENTS, by=("query_id",)) -> DataFrame:
     """The k nearest of vectors (doc_id, embedding) for each of queries (query_id, q),
     or for each query and class of vectors named in by.
 
-    Queries are a batch, sent to all partitions; a batch of more than
-    ``max_queries`` goes in salted blocks through a join on the block instead, so
-    nothing that grows is broadcast.
+    A batch of queries with at most ``max_components`` numbers goes to all tasks, which
+    multiply matrices and keep k rows for each query; a larger one goes in salted blocks
+    through a join on the block, so nothing that grows is sent around.  Scores are
+    rounded to twelve decimals, so that the order of summation decides nothing.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n <= max_queries:
-        blocks, side = 1, F.broadcast(queries.withColumn("block", F.lit(0)))
-    else:
-        blocks = 1 + queries.count() // max_queries
-        side = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
     more = [c for c in by if c != "query_id"]
+    if size <= max_components:
+        return top_by(_multiplied_vectors(queries.select("query_id", "q").collect(), queries.schema["query_id"].dataType, vectors, k, skip_own, more), k, by=by)
+    blocks = 1 + size // max_components
+    side = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     spread = vectors.select("doc_id", "embedding", *more, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pairs = spread.join(side, "block")
     if skip_own:
         pairs = pairs.filter("query_id <> doc_id")
-    return top_by(pairs.select("query_id", "doc_id", *more, dot(F.col("q"), F.col("embedding")).alias("score")), k, by=by)
+    return top_by(pairs.select("query_id", "doc_id", *more, F.round(dot(F.col("q"), F.col("embedding")), 12).alias("score")), k, by=by)
+
+
+def _multiplied_vectors(queries: list, query_type: T.DataType, vectors: DataFrame, k: int, skip_own: bool, more: list[str]) -> DataFrame:
+    """(query_id, doc_id, more, score): of each batch of vectors the k best for each query and class."""
+    out = T.StructType([T.StructField("query_id", query_type), vectors.schema["doc_id"], *[vectors.schema[c] for c in more], T.StructField("score", T.DoubleType())])
+    if not queries:
+        return vectors.sparkSession.createDataFrame([], out)
+    ids, query_arrow = [r["query_id"] for r in queries], to_arrow_type(query_type)
+    sizes = {len(r["q"]) for r in queries}
+    asked = {n: (np.array([j for j, r in enumerate(queries) if len(r["q"]) == n]), np.array([r["q"] for r in queries if len(r["q"]) == n], float)) for n in sizes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.array(ids, query_arrow)
+        for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+            length = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), -1))
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            group = [str(tuple(x)) for x in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)] if more else [""] * len(docs)
+            group = np.array(group)
+            for n, (places, q) in asked.items():
+                for g in np.unique(group[length == n]):
+                    rows = np.flatnonzero((length == n) & (group == g))
+                    rows = rows[np.argsort(docs[rows], kind="stable")]
+                    v = np.asarray(batch.column(1).take(pa.array(rows)).flatten()).astype(float).reshape(len(rows), n)
+                    for first in range(0, len(places), 1024):
+                        part = places[first : first + 1024]
+                        scores = np.round(v @ q[first : first + 1024].T, 12)
+                        if skip_own:
+                            scores[docs[rows][:, None] == np.array([ids[j] for j in part])[None, :]] = -np.inf
+                        best = np.argsort(-scores, axis=0, kind="stable")[:k]
+                        column = np.broadcast_to(np.arange(len(part)), best.shape)
+                        sound = np.isfinite(scores[best, column]) if skip_own else np.ones(best.shape, bool)
+                        at, j = rows[best[sound]], column[sound]
+                        yield pa.RecordBatch.from_arrays([own.take(pa.array(part[j])), batch.column(0).take(pa.array(at)), *[batch.column(2 + c).take(pa.array(at)) for c in range(len(more))], pa.array(scores[best[sound], j])], names=out.names)
+
+    return vectors.select("doc_id", "embedding", *more).filter("embedding IS NOT NULL").mapInArrow(run, out)
 
 
 def ranked(scores: DataFrame, by=("query_id",)) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text as tx
 from memloom.operators import cases, graph, hybrid, inverted, models, ranking
 from memloom.plans.queries_graph import GRAPH_SQL, _graph
-from memloom.plans.queries_recall import _TWO_LISTS, _asked, _two, _vectors
+from memloom.plans.queries_recall import _TWO_LISTS, LEXICAL_SQL, _asked, _lexical, _two, _vectors
 from memloom.plans.registry import query
 from memloom.sources.tables import durable
 
@@ -16,12 +16,17 @@ _DENSE_SQL = """
 dense AS (SELECT query_id, vec_id AS doc_id, list_inner_product(q, embedding::DOUBLE[]) AS score FROM qv CROSS JOIN embeddings)"""
 
 
-@query("r08_lexical_and_dense", _TWO_LISTS + """
-, fused AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 12) AS score FROM (SELECT *, 0.7 AS w FROM dr WHERE rank <= 10 UNION ALL SELECT *, 0.3 AS w FROM lr WHERE rank <= 20) GROUP BY query_id, doc_id),
+@query("r08_lexical_and_dense", LEXICAL_SQL + """
+, plus AS (SELECT query_id, doc_id, round(sum(times * ln((n + 1) / df) * (1 + tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 9) AS score FROM matched GROUP BY ALL),
+lr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM plus WHERE score > 0),
+dr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense),
+fused AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 12) AS score FROM (SELECT *, 0.7 AS w FROM dr WHERE rank <= 10 UNION ALL SELECT *, 0.3 AS w FROM lr WHERE rank <= 20) GROUP BY query_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused)
 SELECT query_id, doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def r08(v):
-    lexical, dense = _two(v, 20)
+    postings, terms = _lexical(v)
+    lexical = graph.top_by(postings.score(terms, ranking.bm25_plus(), top=20).filter("score > 0"), 20)
+    dense = ranking.dense_top(_asked(v).filter("q IS NOT NULL").select("query_id", "q"), _vectors(v), 10)
     return hybrid.lexical_and_dense(dense.filter("rank <= 10"), lexical, 10).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
@@ -25,6 +26,15 @@ qv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN
 dense AS (SELECT query_id, atom_id AS doc_id, list_inner_product(q, embedding::DOUBLE[]) AS score FROM qv CROSS JOIN vectors)"""
 
 
+#: The same over identifiers kept whole, with all terms of the queries.
+_LEXICAL = r"regexp_extract_all(lower(text), '0x[0-9a-f]+|[\p{L}\p{N}_]+(?:[-.][\p{L}\p{N}_]+)*')"
+LEXICAL_SQL = TERMS_SQL.replace(r"lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')))", f"unnest({_LEXICAL})").replace(r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))", f"len({_LEXICAL})").replace(r"lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:64]))", f"unnest({_LEXICAL})")
+
+
+def _lexical(v: Views) -> tuple[ranking.Postings, DataFrame]:
+    return ranking.Postings(v.raw("documents").select("doc_id", "text"), tx.lexical_tokens("text")), v.queries.select("query_id", F.explode(tx.lexical_tokens("query_text")).alias("term"))
+
+
 def _postings(v: Views) -> ranking.Postings:
     return ranking.Postings(v.raw("documents").select("doc_id", "text"), F.transform(tx.words_of("text"), lambda t: F.lower(t)))
 
@@ -56,23 +66,24 @@ def a09(v):
     return _postings(v).df
 
 
-@query("r07_bm25_plus", TERMS_SQL + """
+@query("r07_bm25_plus", LEXICAL_SQL + """
 , s AS (SELECT query_id, doc_id, round(sum(times * ln((n + 1) / df) * (1 + tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 9) AS score FROM matched GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def r07(v):
-    s = _postings(v).score(_terms(v), ranking.bm25_plus()).filter("score > 0")
+    postings, terms = _lexical(v)
+    s = postings.score(terms, ranking.bm25_plus(), top=10).filter("score > 0")
     return graph.top_by(s, 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query("r07_bm25_okapi", TERMS_SQL + """
+@query("r07_bm25_okapi", LEXICAL_SQL + """
 , raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df CROSS JOIN tot),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 s AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM matched m JOIN idf ON idf.term = m.term GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def r07b(v):
-    return graph.top_by(ranking.bm25_okapi(_postings(v), _terms(v)), 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    return graph.top_by(ranking.bm25_okapi(*_lexical(v)), 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query("r14_fts_signal", TERMS_SQL + """
@@ -115,7 +126,7 @@ def r15(v):
 r AS (SELECT d.query_id, d.doc_id, d.score, row_number() OVER (PARTITION BY d.query_id ORDER BY d.score DESC, d.doc_id) AS rank FROM dense d JOIN cand c ON c.query_id = d.query_id AND c.doc_id = d.doc_id)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def j03(v):
-    cand = graph.top_by(_postings(v).score(_terms(v), ranking.bm25_fts()), 50).select("query_id", "doc_id")
+    cand = graph.top_by(_postings(v).score(_terms(v), ranking.bm25_fts(), top=50), 50).select("query_id", "doc_id")
     x = cand.join(_vectors(v), "doc_id").join(_asked(v).filter("q IS NOT NULL").select("query_id", "q"), "query_id")
     return graph.top_by(x.select("query_id", "doc_id", ranking.dot(F.col("q"), F.col("embedding")).alias("score")), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
@@ -127,7 +138,7 @@ l30 AS (SELECT * FROM lr WHERE rank <= 30), d30 AS (SELECT * FROM dr WHERE rank
 
 
 def _two(v: Views, n: int = 30):
-    lexical = graph.top_by(_postings(v).score(_terms(v), ranking.bm25_fts()), n)
+    lexical = graph.top_by(_postings(v).score(_terms(v), ranking.bm25_fts(), top=n), n)
     dense = ranking.dense_top(_asked(v).filter("q IS NOT NULL").select("query_id", "q"), _vectors(v), n)
     return lexical, dense
 
