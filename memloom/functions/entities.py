@@ -36,6 +36,7 @@ TECH: list[Pattern] = [
     (r"\b(llama\.?cpp|exllama(?:v2)?|vllm|ollama|lm[\s_-]?studio|stable[\s_-]?diffusion|midjourney|dall[\s-]?e|comfyui)\b", "tool", True),
     (r"\b(7900\s*xtx|mi300x|a100|h100|3090|4090|9900x|epyc|instinct)\b", "hardware", True),
     (r"\b(gpt-?(?:oss-?)?\d+(?:\.\d+)?[a-z]*(?:-(?:turbo|mini|preview|o))?)\b", "model", True),
+    (r"\b(claude[\s-]?(?:opus|sonnet|haiku)?[\s-]?\d*(?:\.\d+)?)\b", "model", True),
     (r"\b(llama[\s-]?\d+(?:\.\d+)?(?:[\s-]?\d+[bB])?)\b", "model", True),
     (r"\b(qwen\d?[\s-]?\d+[bBmM]?)\b", "model", True),
     (r"\b(mistral[\s-]?\d*(?:\.\d+)?(?:[\s-]?\d+[bBmM])?)\b", "model", True),
@@ -82,6 +83,11 @@ def pattern_set(*lists: Sequence[Pattern]) -> list[Pattern]:
     return list(out.values())
 
 
+def named_projects(*names: str) -> list[Pattern]:
+    """A pattern for projects that are known by name; to be put before the technical ones."""
+    return [(rf"\b({'|'.join(names)})\b", "project", True)] if names else []
+
+
 REAL, SYNTHETIC, ALL = pattern_set(BASE, TECH, GENERAL), pattern_set(BASE, INFRA), pattern_set(BASE, TECH, GENERAL, INFRA)
 MENTIONS = "array<struct<label:string,etype:string,raw:string,start:int,end:int>>"
 

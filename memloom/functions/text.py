@@ -243,12 +243,10 @@ def safe_ref(ref) -> Column:
     return ~ref.startswith("/") & ~ref.startswith("~") & ~F.array_contains(F.split(ref, "/"), "..")
 
 
-def span_digest(text) -> Column:
-    return F.substring(F.sha2(_c(text), 256), 1, 16)
-
-
 def span_ref(session, offset, text) -> Column:
-    return F.concat(_c(session), F.lit("#"), _c(offset).cast("string"), F.lit("."), span_digest(text))
+    from memloom.functions.python_text import span_digest
+
+    return F.concat(_c(session), F.lit("#"), _c(offset).cast("string"), F.lit("."), span_digest(_c(text)))
 
 
 def composed_body(**fields) -> Column:

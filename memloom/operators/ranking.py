@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -245,6 +246,38 @@ def _multiplied_vectors(queries: list, query_type: T.DataType, vectors: DataFram
     return vectors.select("doc_id", "embedding", *more).filter("embedding IS NOT NULL").mapInArrow(run, out)
 
 
+def similar_pairs(vectors: DataFrame, least: float, max_components: int = MAX_COMPONENTS) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of vectors (doc_id, embedding) whose cosine is
+    at least ``least``, by blocks: each pair of blocks is one matrix product, of which only
+    similar pairs are returned.  Zero vectors have cosine 0."""
+    size = vectors.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    blocks = 1 + size // max_components
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    spread = vectors.select("doc_id", "embedding", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    placed = spread.select("doc_id", "embedding", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    kind = vectors.schema["doc_id"].dataType
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        sides = [pdf[pdf["own"] == k] for k in (pdf["x"].iloc[0], pdf["y"].iloc[0])]
+        units = []
+        for side in sides:
+            m = np.array(side["embedding"].tolist(), float).reshape(len(side), -1)
+            norm = np.sqrt((m * m).sum(1, keepdims=True))
+            units.append((side["doc_id"].to_numpy(), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)))
+        (ids, m), (others, n) = units
+        for at in range(0, len(ids) if len(others) else 0, 1024):
+            scores = m[at : at + 1024] @ n.T
+            i, j = np.nonzero(scores >= least - 1e-9)
+            a, b = ids[at + i], others[j]
+            keep = a < b if pdf["x"].iloc[0] == pdf["y"].iloc[0] else a != b
+            parts.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": scores[i, j][keep]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "similarity": []})
+
+    return placed.groupBy("x", "y").applyInPandas(compare, out).withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= least)
+
+
 def ranked(scores: DataFrame, by=("query_id",)) -> DataFrame:
     """The 1-based position of each row in its list."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id")))

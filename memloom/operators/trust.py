@@ -31,14 +31,50 @@ def chain_ends(supersedes: DataFrame, rounds: int = 40) -> DataFrame:
     raise ValueError("supersession cycle detected among atoms")
 
 
-def components_in_order(supersedes: DataFrame) -> DataFrame:
-    """(id, root, depth): each atom of a correction chain, the oldest atom below it and
-    its distance from there along the longest way; oldest first within a root."""
-    ends = chain_ends(supersedes.select(F.col("dst_atom").alias("src_atom"), F.col("src_atom").alias("dst_atom")))
-    roots = supersedes.select(F.col("dst_atom").alias("id")).subtract(supersedes.select(F.col("src_atom").alias("id")))
-    members = ends.select("id", F.col("end").alias("root")).union(roots.select("id", F.col("id").alias("root"))).distinct()
-    order = Window.partitionBy("root").orderBy("id")
-    return members.withColumn("depth", F.row_number().over(order) - 1)
+def _smallest_linked(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, root): for each end of the undirected links (a, b) the smallest id of its
+    component.  A round takes the smallest label around and then that label's own, so
+    rounds grow with the logarithm of a long chain; each is written out."""
+    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
+    now = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
+    for _ in range(rounds):
+        near = both.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("seen"))
+        step = now.join(near, "id").select("id", F.least("root", "seen").alias("root"))
+        told = step.groupBy(F.col("root").alias("id")).agg(F.lit(1).alias("one")).join(now.withColumnRenamed("root", "next"), "id").select(F.col("id").alias("root"), "next")
+        ahead = durable(step.join(told, "root", "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root")))
+        if now.join(ahead.withColumnRenamed("root", "then"), "id").filter("then <> root").isEmpty():
+            return ahead
+        now = ahead
+    raise ValueError("components didn't settle")
+
+
+def components_in_order(supersedes: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(id, root, depth): each atom of a correction graph, the smallest id of its
+    undirected component, and its place there, oldest first.
+
+    An atom comes after all that it supersedes: by the longest way to an atom that
+    supersedes none, then by id.  Members of cycles, and what is newer than one, come
+    last by id.  A level at a time is peeled off, all components at once, and the atoms
+    that are left shrink with each; a chain takes as many rounds as it is long.
+    """
+    edges = durable(supersedes.select(F.col("src_atom").alias("new"), F.col("dst_atom").alias("old")).distinct())
+    members = _smallest_linked(edges.select(F.col("new").alias("a"), F.col("old").alias("b")))
+    left, placed, level = edges, None, 0
+    ready = durable(members.select("id").join(edges.select(F.col("new").alias("id")), "id", "left_anti"))
+    for _ in range(rounds):
+        if ready.isEmpty():
+            break
+        here = ready.select("id", F.lit(level).alias("level"))
+        placed = here if placed is None else placed.union(here)
+        rest = durable(left.join(ready.select(F.col("id").alias("old")), "old", "left_anti"))
+        freed = left.join(ready.select(F.col("id").alias("old")), "old", "left_semi").select(F.col("new").alias("id")).distinct()
+        ready = durable(freed.join(rest.select(F.col("new").alias("id")), "id", "left_anti"))
+        left, level = rest, level + 1
+    else:
+        raise ValueError("a correction chain is longer than the rounds allowed")
+    known = members.withColumn("level", F.lit(None).cast("int")) if placed is None else members.join(placed, "id", "left")
+    order = Window.partitionBy("root").orderBy(F.col("level").asc_nulls_last(), "id")
+    return known.select("id", "root", (F.row_number().over(order) - 1).alias("depth"))
 
 
 def assess(ranked: DataFrame, atoms: DataFrame, sources: DataFrame, ends: DataFrame, now: int) -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from memloom.functions import text as tx
-from memloom.operators import graph, ranking
+from memloom.operators import associate, enrich, graph, ranking
 from memloom.plans.registry import query
 from memloom.plans.views import Views, with_views
 
@@ -71,14 +70,22 @@ def r03(v):
     return _graph(v).query(v.queries, 10, context).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("r04_multi_hop")
+@query("r04_multi_hop", GRAPH_SQL + """
+, n AS (SELECT 'e:' || etype || ':' || label AS a, 'v:' || doc_id AS b, weight FROM edges),
+net AS (SELECT a AS src, b AS dst, weight FROM n UNION ALL SELECT b, a, weight FROM n),
+h0 AS (SELECT query_id, 'e:' || etype || ':' || label AS node, 1.5 * spec AS score FROM (SELECT DISTINCT query_id, etype, label, spec FROM words JOIN edges ON w = label)),
+x1 AS (SELECT query_id, node, max(score) AS score FROM (SELECT query_id, node, score * 0.6 AS score FROM h0 UNION ALL SELECT query_id, dst, score * 0.6 * weight FROM h0 JOIN net ON src = node WHERE score >= 0.15) GROUP BY ALL),
+h1 AS (SELECT query_id, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS k FROM x1) WHERE k <= 50 AND score >= 0.15),
+x2 AS (SELECT query_id, node, max(score) AS score FROM (SELECT query_id, node, score * 0.6 AS score FROM h1 UNION ALL SELECT query_id, dst, score * 0.6 * weight FROM h1 JOIN net ON src = node WHERE score >= 0.15) GROUP BY ALL)
+SELECT query_id, node, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS k FROM x2) WHERE k <= 50 AND score >= 0.15""")
 def r04(v):
     g = _graph(v)
     seeds = g.seeds(v.queries.select("query_id", F.explode(tx.query_words("query_text")).alias("word")))
     node = F.concat(F.lit("e:"), "etype", F.lit(":"), "label")
     doc = F.concat(F.lit("v:"), F.col("doc_id").cast("string"))
     out = g.edges.select(node.alias("src"), doc.alias("dst"), "weight")
-    return graph.spread(out, seeds.select("query_id", node.alias("node"), F.col("seed").alias("score")), 2)
+    both = out.union(out.select("dst", "src", "weight"))
+    return graph.spread(both, seeds.select("query_id", node.alias("node"), F.col("seed").alias("score")), 2).select("query_id", "node", F.round("score", 6).alias("score"))
 
 
 @query("a07_bands", GRAPH_SQL + """
@@ -114,15 +121,16 @@ def a03(v):
 
 
 @query("j15_differing_labels", with_views("entity_facets") + """
-, pairs AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 20 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)),
-x AS (SELECT a, b, value, count(DISTINCT atom_id) AS n FROM pairs JOIN entity_facets ON atom_id IN (a, b) GROUP BY ALL)
+, pairs AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)),
+sides AS (SELECT a, b, a AS own FROM pairs UNION ALL SELECT a, b, b FROM pairs),
+x AS (SELECT a, b, value, count(DISTINCT atom_id) AS n FROM sides JOIN entity_facets ON atom_id = own GROUP BY ALL)
 SELECT a, b, CAST(count(*) AS BIGINT) AS n, string_agg(value, ',' ORDER BY value) AS labels FROM x WHERE n = 1 GROUP BY a, b""")
 def j15(v):
-    own = v.entity_facets.filter("atom_id % 20 IN (0, 1)").groupBy("atom_id").agg(F.collect_set("value").alias("e"))
-    a, b = own.filter("atom_id % 20 = 0").select(F.col("atom_id").alias("a"), F.col("e").alias("ea")), own.filter("atom_id % 20 = 1").select((F.col("atom_id") - 1).alias("a"), F.col("atom_id").alias("b"), F.col("e").alias("eb"))
-    every = v.raw("documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("a")).join(v.raw("documents").filter("doc_id % 20 = 1").select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b")), "a")
+    """Neighbouring documents, and the labels that only one of them has."""
+    own = v.entity_facets.groupBy("atom_id").agg(F.collect_set("value").alias("e"))
     none = F.array().cast("array<string>")
-    both = every.join(a, "a", "left").join(b.drop("b"), "a", "left").withColumns({"ea": F.coalesce("ea", none), "eb": F.coalesce("eb", none)})
+    every = v.raw("documents").select(F.col("doc_id").alias("atom_id")).join(own, "atom_id", "left").select("atom_id", F.coalesce("e", none).alias("e"))
+    both = every.select(F.col("atom_id").alias("a"), F.col("e").alias("ea")).join(every.select((F.col("atom_id") - 1).alias("a"), F.col("atom_id").alias("b"), F.col("e").alias("eb")), "a")
     d = both.select("a", "b", F.sort_array(F.concat(F.array_except("ea", "eb"), F.array_except("eb", "ea"))).alias("d"))
     return d.filter("size(d) > 0").select("a", "b", F.size("d").cast("long").alias("n"), F.array_join("d", ",").alias("labels"))
 
@@ -152,62 +160,89 @@ def a16(v):
 @query("j08_related_memory", FACET_SQL + """
 , x AS (SELECT s.atom_id AS src, f.atom_id AS rel, sum(1.0 / n) AS score FROM entity_facets s JOIN deg ON deg.value = s.value AND n <= 100
   JOIN entity_facets f ON f.value = s.value JOIN atoms a ON a.id = f.atom_id AND a.status = 'live' AND a.kind IN ('atom', 'narrative', 'snapshot')
-  WHERE s.atom_id % 25 = 3 AND f.atom_id <> s.atom_id GROUP BY ALL),
+  WHERE f.atom_id <> s.atom_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, rel) AS rank FROM x)
 SELECT src, rel, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def j08(v):
-    deg = _degree(v, 100)
-    src = v.entity_facets.filter("atom_id % 25 = 3").select(F.col("atom_id").alias("query_id"), "value").join(deg, "value")
     memory = v.atoms.filter("status = 'live' AND kind IN ('atom', 'narrative', 'snapshot')").select(F.col("id").alias("doc_id"))
-    other = v.entity_facets.select(F.col("atom_id").alias("doc_id"), "value").join(memory, "doc_id", "left_semi")
-    score = src.join(other, "value").filter("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / F.col("n")), 9).alias("score"))
-    return graph.top_by(score, 3).select(F.col("query_id").alias("src"), F.col("doc_id").alias("rel"), F.round("score", 6).alias("score"), "rank")
+    facets = v.entity_facets.select("atom_id", "value").join(_degree(v, 100), "value")
+    found = enrich.related(v.raw("documents").select(F.col("doc_id").alias("query_id")), facets, memory, 100, 3)
+    return found.select(F.col("query_id").alias("src"), F.col("doc_id").alias("rel"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("j09_relates_edges", with_views("atoms", "supersedes") + " SELECT src_atom, dst_atom, status FROM supersedes JOIN atoms ON id = src_atom WHERE status = 'live'")
+#: Stored edges with weights, from the ids.
+EDGES_SQL = "stored AS (SELECT doc_id AS src_atom, doc_id + 5 AS dst_atom, (doc_id % 10) / 10.0 AS weight FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, doc_id + 6, 0.55 FROM documents WHERE doc_id % 7 = 0)"
+
+
+def stored_edges(v: Views):
+    d = v.raw("documents").filter("doc_id % 7 = 0")
+    return d.select(F.col("doc_id").alias("src_atom"), (F.col("doc_id") + 5).alias("dst_atom"), ((F.col("doc_id") % 10) / 10.0).alias("weight")).union(d.select("doc_id", F.col("doc_id") + 6, F.lit(0.55)))
+
+
+@query("j09_relates_edges", with_views("atoms") + ", " + EDGES_SQL + """
+SELECT src_atom, dst_atom, weight, CAST(row_number() OVER (PARTITION BY src_atom ORDER BY weight DESC, dst_atom) AS INTEGER) AS rank FROM stored JOIN atoms ON id = dst_atom WHERE status = 'live'""")
 def j09(v):
-    return v.supersedes.join(v.atoms.filter("status = 'live'").select(F.col("id").alias("src_atom"), "status"), "src_atom").select("src_atom", "dst_atom", "status")
+    live = v.atoms.filter("status = 'live'").select(F.col("id").alias("doc_id"))
+    e = stored_edges(v).select(F.col("src_atom").alias("query_id"), F.col("dst_atom").alias("doc_id"), F.col("weight").alias("score")).join(live, "doc_id", "left_semi")
+    return ranking.ranked(e).select(F.col("query_id").alias("src_atom"), F.col("doc_id").alias("dst_atom"), F.col("score").alias("weight"), "rank")
 
 
-@query("j14_supersession_pairs", with_views("atoms", "vectors") + """
-, x AS (SELECT a.id, a.text, a.project, a.created_at, e.embedding FROM atoms a JOIN vectors e ON e.atom_id = a.id WHERE a.status = 'live')
-SELECT o.id AS old_id, n.id AS new_id, round(list_cosine_similarity(o.embedding::DOUBLE[], n.embedding::DOUBLE[]), 6) AS similarity
-FROM x o JOIN x n ON o.project = n.project AND o.created_at < n.created_at AND o.text <> n.text WHERE list_cosine_similarity(o.embedding::DOUBLE[], n.embedding::DOUBLE[]) >= 0.3""")
+@query("j14_supersession_pairs", with_views("atoms", "facets") + """
+, twins AS (SELECT e.vec_id AS id, CASE WHEN e.vec_id % 4 = 1 THEN list_concat([p.embedding[1]::DOUBLE + 0.01], (p.embedding::DOUBLE[])[2:]) ELSE e.embedding::DOUBLE[] END AS v
+  FROM embeddings e LEFT JOIN embeddings p ON p.vec_id = e.vec_id - 1),
+x AS (SELECT a.id, a.text, a.created_at, t.v FROM atoms a JOIN twins t ON t.id = a.id WHERE a.status = 'live')
+SELECT o.id AS old_id, n.id AS new_id, round(list_cosine_similarity(o.v, n.v), 6) AS similarity FROM x o JOIN x n ON o.created_at < n.created_at AND o.text <> n.text
+WHERE list_cosine_similarity(o.v, n.v) >= 0.98 AND EXISTS (SELECT 1 FROM facets f JOIN facets g ON g.key = f.key AND g.value = f.value WHERE f.atom_id = o.id AND g.atom_id = n.id)""")
 def j14(v):
-    x = v.atoms.filter("status = 'live'").select("id", F.xxhash64("text").alias("t"), "project", "created_at").join(v.embeddings.select(F.col("atom_id").alias("id"), "embedding"), "id")
-    o = x.select(F.col("id").alias("old_id"), F.col("t").alias("ot"), "project", F.col("created_at").alias("oc"), F.col("embedding").alias("oe"))
-    n = x.select(F.col("id").alias("new_id"), F.col("t").alias("nt"), "project", F.col("created_at").alias("nc"), F.col("embedding").alias("ne"))
-    pairs = o.join(n, "project").filter("oc < nc AND ot <> nt").withColumn("similarity", ranking.cosine(F.col("oe"), F.col("ne")))
-    return pairs.filter("similarity >= 0.3").select("old_id", "new_id", F.round("similarity", 6).alias("similarity"))
+    """Every fourth vector is made a near twin of the one before it."""
+    e = v.raw("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.expr("concat(array(e[0] + 0.01), slice(e, 2, size(e)))").alias("p"))
+    vectors = e.join(before, "vec_id", "left").select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 4 == 1, F.col("p")).otherwise(F.col("e")).alias("embedding"))
+    return associate.supersession_pairs(v.atoms, vectors, v.facets, v.provenance).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j16_edge_proposals", FACET_SQL + """
-, x AS (SELECT m.id AS mem_id, c.id AS chunk_id, sum(1.0 / n) + max(CASE WHEN m.project = c.project THEN 0.05 ELSE 0 END) AS score
+, x AS (SELECT m.id AS mem_id, c.id AS chunk_id, round(sum(1.0 / n) + max(CASE WHEN m.project = c.project THEN 0.05 ELSE 0 END), 9) AS score
   FROM entity_facets s JOIN deg ON deg.value = s.value AND n <= 500 JOIN entity_facets f ON f.value = s.value
-  JOIN atoms m ON m.id = s.atom_id AND m.status = 'live' AND m.kind = 'snapshot' JOIN atoms c ON c.id = f.atom_id AND c.status = 'live' AND c.kind = 'document_chunk' GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY mem_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM x WHERE score >= 0.02)
-SELECT mem_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+  JOIN atoms m ON m.id = s.atom_id AND m.status = 'live' AND m.kind IN ('atom', 'narrative', 'snapshot') JOIN atoms c ON c.id = f.atom_id AND c.status = 'live' AND c.kind = 'document_chunk' GROUP BY ALL),
+r AS (SELECT mem_id, chunk_id, score, 'entity' AS channel, 1 AS own FROM (SELECT *, row_number() OVER (PARTITION BY mem_id ORDER BY score DESC, chunk_id) AS rank FROM x WHERE score >= 0.02) WHERE rank <= 3),
+unit AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+y AS (SELECT m.id AS mem_id, c.id AS chunk_id, round(list_inner_product(a.u, b.u), 12) AS score FROM atoms m JOIN unit a ON a.id = m.id CROSS JOIN atoms c JOIN unit b ON b.id = c.id
+  WHERE m.status = 'live' AND m.kind IN ('atom', 'narrative', 'snapshot') AND c.status = 'live' AND c.kind = 'document_chunk'),
+d AS (SELECT mem_id, chunk_id, round(score, 9) AS score, 'dense' AS channel, 0 AS own FROM (SELECT *, row_number() OVER (PARTITION BY mem_id ORDER BY score DESC, chunk_id) AS rank FROM y) WHERE rank <= 5 AND score >= 0.3),
+every AS (SELECT * FROM r UNION ALL SELECT * FROM d)
+SELECT mem_id, chunk_id, round(score, 6) AS score, channel FROM (SELECT *, row_number() OVER (PARTITION BY mem_id, chunk_id ORDER BY score DESC, own DESC) AS k FROM every) WHERE k = 1""")
 def j16(v):
+    """The dense channel takes cosines from 0.3 on, as these vectors have few of 0.5."""
     deg = _degree(v, 500)
-    side = lambda kind, name: v.entity_facets.select(F.col("atom_id").alias(name), "value").join(v.atoms.filter((F.col("status") == "live") & (F.col("kind") == kind)).select(F.col("id").alias(name), F.col("project").alias(f"{name}_p")), name)
-    pairs = side("snapshot", "query_id").join(deg, "value").join(side("document_chunk", "doc_id"), "value")
+    kinds = {"query_id": ("atom", "narrative", "snapshot"), "doc_id": ("document_chunk",)}
+    side = lambda name: v.entity_facets.select(F.col("atom_id").alias(name), "value").join(v.atoms.filter((F.col("status") == "live") & F.col("kind").isin(*kinds[name])).select(F.col("id").alias(name), F.col("project").alias(f"{name}_p")), name)
+    pairs = side("query_id").join(deg, "value").join(side("doc_id"), "value")
     score = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / F.col("n")) + F.max(F.when(F.col("query_id_p") == F.col("doc_id_p"), 0.05).otherwise(0.0)), 9).alias("score")).filter("score >= 0.02")
-    return graph.top_by(score, 3).select(F.col("query_id").alias("mem_id"), F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
-
-
-@query("j17_association", FACET_SQL + """
-, mine AS (SELECT atom_id, value FROM (SELECT f.atom_id, f.value, row_number() OVER (PARTITION BY f.atom_id ORDER BY f.value) AS k FROM entity_facets f JOIN deg ON deg.value = f.value AND n BETWEEN 2 AND 128 WHERE f.atom_id % 50 = 7) WHERE k <= 32),
-x AS (SELECT m.atom_id AS seed, f.atom_id AS doc_id, sum(1.0 / n) AS score FROM mine m JOIN deg ON deg.value = m.value JOIN entity_facets f ON f.value = m.value JOIN atoms a ON a.id = f.atom_id AND a.status = 'live' WHERE f.atom_id % 50 <> 7 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x)
-SELECT seed, doc_id, round(score, 6) AS score FROM r WHERE rank <= 128""")
+    by_entity = graph.top_by(score, 3)
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    unit = v.raw("embeddings").select("vec_id", e.alias("e")).select("vec_id", F.expr("transform(e, x -> x / sqrt(aggregate(e, 0D, (s, y) -> s + y * y)))").alias("u"))
+    of = lambda name: unit.join(v.atoms.filter((F.col("status") == "live") & F.col("kind").isin(*kinds[name])).select(F.col("id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", name)
+    near = ranking.dense_top(of("query_id").withColumnRenamed("u", "q"), of("doc_id").withColumnRenamed("u", "embedding"), 5).filter("score >= 0.3")
+    names = [F.col("query_id").alias("mem_id"), F.col("doc_id").alias("chunk_id")]
+    both = associate.proposals(by_entity.select(*names, "score"), near.select(*names, F.round("score", 9).alias("score")))
+    return both.withColumn("score", F.round("score", 6))
+
+
+@query("j17_association", with_views("atoms", "facets") + ", " + EDGES_SQL + """
+, alive AS (SELECT DISTINCT f.atom_id, f.key, f.value FROM facets f JOIN atoms a ON a.id = f.atom_id WHERE a.status = 'live'),
+deg AS (SELECT key, value, count(*) AS n FROM alive GROUP BY key, value HAVING count(*) BETWEEN 2 AND 128),
+mine AS (SELECT * FROM (SELECT f.atom_id AS seed, f.key, f.value, n, row_number() OVER (PARTITION BY f.atom_id ORDER BY f.key, f.value) AS k FROM (SELECT DISTINCT atom_id, key, value FROM facets) f JOIN deg ON deg.key = f.key AND deg.value = f.value) WHERE k <= 32),
+way1 AS (SELECT least(src_atom, dst_atom) AS a, greatest(src_atom, dst_atom) AS b, max(weight) AS w FROM stored GROUP BY ALL),
+way AS (SELECT a AS x, b AS y, w FROM way1 UNION ALL SELECT b, a, w FROM way1), dg AS (SELECT x, count(*) AS d FROM way GROUP BY x),
+parts AS (SELECT m.seed, f.atom_id AS doc_id, 1.0 / n AS part FROM mine m JOIN alive f ON f.key = m.key AND f.value = m.value
+  UNION ALL SELECT s.doc_id, q.y, p.w * q.w / d FROM documents s JOIN way p ON p.x = s.doc_id JOIN dg ON dg.x = p.y JOIN way q ON q.x = p.y),
+x AS (SELECT seed, p.doc_id, round(sum(part), 9) AS score FROM parts p JOIN atoms a ON a.id = p.doc_id AND a.status = 'live' WHERE p.doc_id <> seed GROUP BY ALL)
+SELECT seed, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 128""")
 def j17(v):
-    deg = _degree(v, 128).filter("n >= 2")
-    first = Window.partitionBy("query_id").orderBy("value")
-    mine = v.entity_facets.filter("atom_id % 50 = 7").select(F.col("atom_id").alias("query_id"), "value").join(deg, "value").withColumn("k", F.row_number().over(first)).filter("k <= 32")
-    live = v.atoms.filter("status = 'live'").select(F.col("id").alias("doc_id"))
-    other = v.entity_facets.select(F.col("atom_id").alias("doc_id"), "value").filter("doc_id % 50 <> 7").join(live, "doc_id", "left_semi")
-    score = mine.join(other, "value").groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / F.col("n")), 9).alias("score"))
-    return graph.top_by(score, 128).select(F.col("query_id").alias("seed"), "doc_id", F.round("score", 6).alias("score"))
+    """Every atom is a seed of its own."""
+    seeds = v.raw("documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("seed"))
+    return associate.association(seeds, v.facets, stored_edges(v), v.atoms).select(F.col("query_id").alias("seed"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("j19_cooccurrence", FACET_SQL + """

@@ -138,7 +138,7 @@ def f24(v):
     return v.atoms.select("id", F.round(tx.time_factor(1740000000 - tx.effective_time()), 6).alias("time_factor"), tx.importance_factor("importance").alias("importance_factor"))
 
 
-@query("f27_span_refs", "SELECT conv_id, turn, conv_id || '#' || turn || '.' || substr(sha256(text), 1, 16) AS ref FROM conversations")
+@query("f27_span_refs")
 def f27(v):
     return v.raw("conversations").select("conv_id", "turn", tx.span_ref(F.col("conv_id").cast("string"), "turn", "text").alias("ref"))
 
@@ -177,9 +177,9 @@ def f33(v):
     return v.raw("events").filter("props IS NOT NULL").select("event_id", "props")
 
 
-@query("f35_slugs", "SELECT item_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM benchmark")
+@query("f35_slugs", "SELECT item_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM benchmark")
 def f35(v):
-    return v.raw("benchmark").select("item_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return v.raw("benchmark").select("item_id", tx.slug("text").alias("slug"))
 
 
 @query("f36_normalized_answers", r"SELECT item_id, lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS answer FROM benchmark")

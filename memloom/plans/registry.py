@@ -29,4 +29,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r01_graph_query"](spark, sf_dir)
 
 
-from memloom.plans import queries_graph, queries_hybrid, queries_recall, queries_store, queries_text  # noqa: E402, F401
+from memloom.plans import queries_graph, queries_hybrid, queries_ledger, queries_recall, queries_store, queries_text  # noqa: E402, F401

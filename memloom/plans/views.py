@@ -44,7 +44,7 @@ class Views:
     @cached_property
     def provenance(self) -> DataFrame:
         d = self.raw("documents").select("doc_id", "lang", "source")
-        source = F.when((F.col("doc_id") % 10).between(2, 5), "bulk-import").when(F.col("doc_id") % 5 == 0, "claude-code").otherwise("explicit-emit")
+        source = F.when((F.col("doc_id") % 10).between(2, 5), "bulk-import").when(F.col("doc_id") % 5 == 0, "session-log").otherwise("explicit-emit")
         return d.select(F.col("doc_id").alias("atom_id"), source.alias("source"), F.col("lang").alias("agent"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_ref"), (F.lit(1700000000).cast("long") + 3600 * F.col("doc_id")).alias("recorded_at"))
 
     @cached_property
@@ -101,7 +101,7 @@ SELECT d.doc_id AS id, d.text, CASE WHEN d.doc_id % 10 = 0 THEN 'narrative' WHEN
   CASE WHEN d.doc_id % 17 = 0 THEN 'superseded' WHEN d.doc_id % 53 = 0 THEN 'tombstone' ELSE 'live' END AS status, d.lang AS agent
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "provenance": """
-SELECT doc_id AS atom_id, CASE WHEN doc_id % 10 BETWEEN 2 AND 5 THEN 'bulk-import' WHEN doc_id % 5 = 0 THEN 'claude-code' ELSE 'explicit-emit' END AS source,
+SELECT doc_id AS atom_id, CASE WHEN doc_id % 10 BETWEEN 2 AND 5 THEN 'bulk-import' WHEN doc_id % 5 = 0 THEN 'session-log' ELSE 'explicit-emit' END AS source,
   lang AS agent, source || '/' || doc_id AS source_ref, 1700000000 + 3600 * doc_id AS recorded_at FROM documents""",
     "mentions": entities.MENTIONS_SQL,
     "entity_facets": "SELECT DISTINCT doc_id AS atom_id, 'entity' AS key, label AS value FROM mentions",

@@ -2,7 +2,7 @@
 session logs and transcripts.
 
 Every reader takes paths and returns a DataFrame of documents: doc_id, content,
-value (the first 200 characters), query, source, timestamp (seconds).  Files are
+value (a line for lists of results), query, source, timestamp (seconds).  Files are
 read by Spark's own readers, so any store and any number of files will do.
 """
 
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from memloom.functions import text as tx
 from memloom.functions.python_text import chunk_text, chunks
@@ -26,7 +27,8 @@ TIME_NAMES = ("comment create timestamp", "timestamp", "created_at", "created at
 
 
 def _documents(df: DataFrame, source: str) -> DataFrame:
-    return df.select(F.col("doc_id").cast("string").alias("doc_id"), "content", F.substring("content", 1, 200).alias("value"), "query", F.lit(source).alias("source"), F.col("timestamp").cast("double").alias("timestamp"))
+    value = F.col("value") if "value" in df.columns else F.substring("content", 1, 200)
+    return df.select(F.col("doc_id").cast("string").alias("doc_id"), "content", value.alias("value"), "query", F.lit(source).alias("source"), F.col("timestamp").cast("double").alias("timestamp"))
 
 
 def _chunked(df: DataFrame, when=None) -> DataFrame:
@@ -95,46 +97,58 @@ def read_messenger_export(spark: SparkSession, paths: str | list[str], shortest:
 def read_mail(spark: SparkSession, paths: str | list[str], shortest: int = 20, whole: int = 1200) -> DataFrame:
     """Mail as JSON lines; bad lines and short bodies go, long mails are chunked."""
     m = spark.read.schema("`from` string, `to` string, subject string, `date` string, body string").json(paths).filter(F.length(F.trim("body")) >= shortest)
-    m = m.withColumn("content", F.concat(F.lit("Subject: "), F.coalesce("subject", F.lit("")), F.lit("\n\n"), "body"))
-    key = F.substring(F.sha2(F.concat_ws(":", F.coalesce("date", F.lit("")), F.coalesce("from", F.lit("")), F.coalesce("subject", F.lit(""))), 256), 1, 16)
-    m = _chunked(m.withColumn("key", key), F.length("content") > whole)
-    return _documents(m.select(F.concat_ws("-", F.lit("email"), "key", F.col("chunk").cast("string")).alias("doc_id"), "content", tx.email_question("from", "subject", "body").alias("query"), F.unix_timestamp(F.try_to_timestamp("date")).alias("timestamp")), "email")
+    m = m.fillna({"from": "", "to": "", "subject": "(no subject)", "date": ""})
+    head = F.concat(F.lit("From: "), "from", F.lit("\nTo: "), "to", F.lit("\nSubject: "), "subject", F.lit("\nDate: "), "date")
+    key = F.concat(F.lit("email-"), F.substring(F.sha2(F.concat_ws(":", "date", "from", "subject"), 256), 1, 16))
+    full = m.select(key.alias("key"), "from", "to", "subject", "date", F.concat(head, F.lit("\n\n"), "body").alias("content"))
+    parts = F.when(F.length("content") > whole, chunks(F.col("content"))).otherwise(F.array("content"))
+    each = full.withColumn("parts", parts).withColumn("n", F.size("parts")).select("key", "from", "to", "subject", "date", "n", F.posexplode("parts").alias("k", "content"))
+    part = lambda text: F.when(F.col("n") > 1, text).otherwise("")
+    line = F.concat(F.lit("["), F.when(F.col("date") == "", "?").otherwise(F.substring("date", 1, 10)), F.lit("] "), "from", F.lit(" -> "), "to", F.lit(": "), "subject", part(F.format_string(" (part %d/%d)", F.col("k") + 1, F.col("n"))))
+    return _documents(each.select(F.concat("key", part(F.concat(F.lit("-"), F.col("k").cast("string")))).alias("doc_id"), "content", line.alias("value"), tx.email_question("from", "subject", "content").alias("query"), F.unix_timestamp(F.try_to_timestamp("date")).alias("timestamp")), "email")
 
 
 def read_calendar(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Calendar events: folded lines are joined and parameters of names dropped."""
+    """Calendar events that have a summary: folded lines are joined and parameters of
+    names dropped."""
     rows = spark.read.text(paths, wholetext=True)
     unfolded = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n[ \t]", "")
     event = rows.select(F.explode(F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), 1)).alias("e"))
-    field = lambda name: F.regexp_replace(F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1), r"\\([,;\\])", "$1")
-    x = event.select(field("SUMMARY").alias("summary"), field("UID").alias("uid"), tx.ics_date(field("DTSTART")).alias("start"), tx.ics_date(field("DTEND")).alias("end"), field("LOCATION").alias("place"), field("DESCRIPTION").alias("more")).filter("summary <> ''")
-    said = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(f"{label}: "), F.col(c)))
-    content = F.concat_ws("\n", said("Event", "summary"), said("Start", "start"), said("End", "end"), said("Location", "place"), said("Description", "more"))
-    key = F.when(F.col("uid") != "", F.col("uid")).otherwise(F.substring(F.sha2(F.concat_ws(":", "summary", "start"), 256), 1, 16))
-    return _documents(x.select(F.concat(F.lit("gcal-"), key).alias("doc_id"), content.alias("content"), tx.calendar_question("summary", "start").alias("query"), F.unix_timestamp(F.try_to_timestamp("start")).alias("timestamp")), "google_calendar")
+    field = lambda name: F.trim(F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1))
+    x = event.select(field("SUMMARY").alias("summary"), field("UID").alias("uid"), field("DTSTART").alias("raw"), tx.ics_date(field("DTSTART")).alias("start"), field("LOCATION").alias("place"), field("DESCRIPTION").alias("more")).filter("summary <> ''")
+    x = x.withColumn("day", F.when(F.col("start") == "", "unknown date").otherwise(F.col("start")))
+    plain = F.replace(F.replace("more", F.lit("\\n"), F.lit(" ")), F.lit("\\,"), F.lit(","))
+    content = F.concat_ws(". ", F.concat(F.lit("Calendar event: "), "summary", F.lit(" on "), "day"), F.when(F.col("place") != "", F.concat(F.lit("Location: "), "place")), F.when(F.col("more") != "", F.concat(F.lit("Description: "), plain)))
+    key = F.when(F.col("uid") != "", F.substring("uid", 1, 16)).otherwise(F.substring(F.sha2(F.concat_ws(":", "summary", "raw"), 256), 1, 16))
+    return _documents(x.select(F.concat(F.lit("gcal-"), key).alias("doc_id"), content.alias("content"), F.concat("summary", F.lit(" ("), "day", F.lit(")")).alias("value"), tx.calendar_question("summary", "day").alias("query"), F.unix_timestamp(F.try_to_timestamp("start")).alias("timestamp")), "google_calendar")
 
 
 def read_comments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Comments as CSV whose columns go by one of several names."""
+    """Comments as CSV whose columns go by one of several names; a comment's id has its
+    place in its file, which Spark reads in order when rows may have line breaks."""
     rows = spark.read.csv(paths, header=True, multiLine=True, escape='"')
     by_name = {c.strip().lower(): c for c in rows.columns}
     text = next((by_name[n] for n in TEXT_NAMES if n in by_name), None)
     if text is None:
         raise ValueError(f"no text column among {rows.columns}")
     time = next((by_name[n] for n in TIME_NAMES if n in by_name), None)
-    at = F.col(f"`{time}`") if time else F.lit(None).cast("string")
-    x = rows.select(F.trim(F.col(f"`{text}`")).alias("content"), at.alias("at")).filter("content <> ''")
-    key = F.substring(F.sha2(F.concat_ws(":", F.coalesce("at", F.lit("")), "content"), 256), 1, 16)
-    return _documents(x.select(F.concat(F.lit("yt-"), key).alias("doc_id"), "content", F.concat(F.lit("What did I comment? "), F.array_join(tx.key_terms("content"), " ")).alias("query"), F.unix_timestamp(F.try_to_timestamp("at")).alias("timestamp")), "youtube")
+    at = F.coalesce(F.col(f"`{time}`"), F.lit("")) if time else F.lit("")
+    x = rows.select(F.trim(F.col(f"`{text}`")).alias("content"), at.alias("at"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+    x = x.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("place")) - 1).filter("content <> ''")
+    key = F.substring(F.sha2(F.concat_ws(":", "content", "at", F.col("n").cast("string")), 256), 1, 12)
+    return _documents(x.select(F.concat(F.lit("ytcomment-"), key).alias("doc_id"), "content", F.concat(F.lit("What did I comment on YouTube? "), F.array_join(tx.key_terms("content"), " ")).alias("query"), F.unix_timestamp(F.try_to_timestamp("at")).alias("timestamp")), "youtube_comments")
 
 
 def read_places(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Labelled places as GeoJSON."""
-    schema = "features array<struct<properties:struct<name:string,title:string,address:string,location:string>,geometry:struct<coordinates:array<double>>>>"
-    f = spark.read.schema(schema).json(paths, multiLine=True).select(F.explode("features").alias("f"))
-    x = f.select(F.coalesce("f.properties.name", "f.properties.title").alias("name"), F.coalesce("f.properties.address", "f.properties.location").alias("address"), F.col("f.geometry.coordinates").alias("at")).filter("name IS NOT NULL")
-    content = F.concat_ws("\n", F.concat(F.lit("Place: "), "name"), F.concat(F.lit("Address: "), "address"), F.when(F.size("at") >= 2, F.format_string("Coordinates: %s, %s", F.get("at", F.lit(1)).cast("string"), F.get("at", F.lit(0)).cast("string"))))
-    return _documents(x.select(F.concat(F.lit("gmaps-"), tx.slug("name")).alias("doc_id"), content.alias("content"), F.concat(F.lit("Where is "), "name", F.lit("?")).alias("query"), F.lit(None).alias("timestamp")), "google_maps")
+    """Labelled places as GeoJSON; a place needs a name or an address."""
+    schema = "features array<struct<properties:struct<name:string,title:string,address:string,location:string>>>"
+    f = spark.read.schema(schema).json(paths, multiLine=True).select(F.posexplode("features").alias("n", "f"))
+    first = lambda *names: F.trim(F.coalesce(*[F.when(F.col(f"f.properties.{c}") != "", F.col(f"f.properties.{c}")) for c in names], F.lit("")))
+    x = f.select("n", first("name", "title").alias("name"), first("address", "location").alias("address")).filter("name <> '' OR address <> ''")
+    x = x.withColumn("shown", F.when(F.col("name") == "", "Unnamed place").otherwise(F.col("name")))
+    content = F.concat(F.lit("Saved place: "), "shown", F.when(F.col("address") != "", F.concat(F.lit(" at "), "address")).otherwise(""))
+    key = F.substring(F.sha2(F.concat_ws(":", "name", "address", F.col("n").cast("string")), 256), 1, 12)
+    return _documents(x.select(F.concat(F.lit("gmaps-"), key).alias("doc_id"), content.alias("content"), F.col("shown").alias("value"), F.concat(F.lit("Where is "), "shown", F.lit("?")).alias("query"), F.lit(None).alias("timestamp")), "google_maps")
 
 
 def read_session_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -5,13 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back:
-    lineage ends there, and losing an executor costs a reread only."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder that driver and executors share and that goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -19,7 +17,14 @@ def durable(df: DataFrame) -> DataFrame:
         root = tempfile.mkdtemp(prefix="memloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/memloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back:
+    lineage ends there, and losing an executor costs a reread only."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -54,7 +55,9 @@ def test_spans_are_slices_and_sets_have_their_sizes():
     x = entities.Extractor(tuple(entities.ALL))
     for label, _, raw, a, b in x.spans(text):
         assert text[a:b] == raw and label == raw.lower()
-    assert len(entities.SYNTHETIC) == 22 and x.spans("") == []
+    real = entities.pattern_set(entities.BASE, entities.named_projects("Atlas", "Apollo"), entities.TECH, entities.GENERAL)
+    assert len(entities.SYNTHETIC) == 22 and len(real) == 27 and len(entities.pattern_set(real, entities.INFRA)) == 41 and x.spans("") == []
+    assert ("apollo", "project") in {m[:2] for m in entities.Extractor(tuple(real)).spans("what apollo did")}
     with pytest.raises(ValueError):
         entities.Extractor([("(a)(b)", "t", True)])
     assert entities.Extractor([(r"\b(redis|nginx)\b", "tech", True)]).spans("Redis, xnginx") == [("redis", "tech", "Redis", 0, 5)]
@@ -173,13 +176,27 @@ def test_readers(spark, tmp_path):
     (tmp_path / "mail.jsonl").write_text(json.dumps({"from": "a@b", "subject": "Hi", "date": "2024-01-01", "body": "A body of more than twenty characters."}) + "\n{bad\n")
     mail = exports.read_mail(spark, str(tmp_path / "mail.jsonl")).collect()
     assert len(mail) == 1 and mail[0].query.startswith("What did a@b email about Hi?")
+    assert mail[0].content == "From: a@b\nTo: \nSubject: Hi\nDate: 2024-01-01\n\nA body of more than twenty characters."
+    assert mail[0].doc_id == "email-" + hashlib.sha256(b"2024-01-01:a@b:Hi").hexdigest()[:16] and mail[0].value == "[2024-01-01] a@b -> : Hi"
+    (tmp_path / "long.jsonl").write_text(json.dumps({"from": "a", "to": "b", "body": "A sentence of some words. " * 80}) + "\n")
+    long = exports.read_mail(spark, str(tmp_path / "long.jsonl")).collect()
+    assert len(long) > 2 and long[1].doc_id.endswith("-1") and long[1].value == f"[?] a -> b: (no subject) (part 2/{len(long)})"
     (tmp_path / "c.ics").write_text("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u1\r\nSUMMARY:Long\r\n  name\r\nDTSTART;TZID=X:20240102T030400\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
     event = exports.read_calendar(spark, str(tmp_path / "c.ics")).first()
-    assert event.doc_id == "gcal-u1" and "Long name" in event.content and "2024-01-02 03:04" in event.content
+    assert (event.doc_id, event.content, event.value) == ("gcal-u1", "Calendar event: Long name on 2024-01-02 03:04", "Long name (2024-01-02 03:04)")
+    (tmp_path / "d.ics").write_text("BEGIN:VEVENT\nSUMMARY:S\nLOCATION:L\nDESCRIPTION:a\\nb\\, c\nEND:VEVENT\nBEGIN:VEVENT\nUID:x\nEND:VEVENT\n")
+    (event,) = exports.read_calendar(spark, str(tmp_path / "d.ics")).collect()
+    assert event.content == "Calendar event: S on unknown date. Location: L. Description: a b, c" and event.doc_id == "gcal-" + hashlib.sha256(b"S:").hexdigest()[:16]
     (tmp_path / "y.csv").write_text('Comment Text,Timestamp\n"nice, very nice",2024-01-01 00:00:00\n')
-    assert exports.read_comments(spark, str(tmp_path / "y.csv")).first().content == "nice, very nice"
+    comment = exports.read_comments(spark, str(tmp_path / "y.csv")).first()
+    assert comment.content == "nice, very nice" and comment.query.startswith("What did I comment on YouTube? ")
+    assert comment.doc_id == "ytcomment-" + hashlib.sha256(b"nice, very nice:2024-01-01 00:00:00:0").hexdigest()[:12]
     (tmp_path / "p.json").write_text(json.dumps({"features": [{"properties": {"title": "Home"}, "geometry": {"coordinates": [1.5, 2.5]}}]}))
-    assert exports.read_places(spark, str(tmp_path / "p.json")).first().doc_id == "gmaps-home"
+    place = exports.read_places(spark, str(tmp_path / "p.json")).first()
+    assert (place.content, place.doc_id) == ("Saved place: Home", "gmaps-" + hashlib.sha256(b"Home::0").hexdigest()[:12])
+    (tmp_path / "q.json").write_text(json.dumps({"features": [{"properties": {}}, {"properties": {"address": "A st"}}]}))
+    (place,) = exports.read_places(spark, str(tmp_path / "q.json")).collect()
+    assert (place.content, place.query) == ("Saved place: Unnamed place at A st", "Where is Unnamed place?")
     (tmp_path / "m.json").write_text(json.dumps({"title": "T", "thread_path": "inbox/abc", "messages": [{"sender_name": "S", "timestamp_ms": 5000, "content": "a message long enough"}]}))
     assert exports.read_messenger_export(spark, str(tmp_path / "m.json")).first().doc_id == "fb-abc-5000-0"
     node = lambda text, role, parent, kids, t: {"message": {"author": {"role": role}, "content": {"content_type": "text", "parts": [text]}, "create_time": t}, "parent": parent, "children": kids}
