@@ -45,8 +45,8 @@ _SHORT, _NONE = 48, 1 << 62
 _CHECK_CHARS = 1 << 20
 #: Documents that are encoded between two batches of results.
 _ROWS = 640
-#: Stretches that are remembered, in each of two generations, and odd ones among them.
-_KEPT, _ODD = 250_000, 50_000
+#: Stretches that are remembered, in each of two generations, as text for digests or packed, and odd ones among them.
+_KEPT, _KEPT_PACKED, _ODD = 450_000, 250_000, 50_000
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 
@@ -113,7 +113,7 @@ class PieceCodec:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.shown = {i: p.replace(MARK, " ") for i, (p, _, kind) in enumerate(self.pieces) if kind == _NORMAL}
         self.memo: Memo = Memo(self._known, _KEPT)
-        self.packed: Memo = Memo(self._packed, _KEPT)
+        self.packed: Memo = Memo(self._packed, _KEPT_PACKED)
         self.odd: dict[str, str] = {}  # stretches that don't decode to themselves
         self.fresh: list[tuple[str, list[int], str]] = []  # stretches computed since the last check
         self.n_fresh = 0
