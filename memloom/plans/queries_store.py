@@ -9,6 +9,7 @@ from memloom.functions import text as tx
 from memloom.operators import brief, evaluation, store, trust
 from memloom.plans.registry import query
 from memloom.plans.views import NOW, with_views
+from memloom.sources.tables import shared_folder
 
 _A = with_views("atoms")
 
@@ -241,9 +242,12 @@ def r28(v):
     return brief.brief(v.atoms, v.facets, v.checkpoints, NOW)
 
 
-@query("k02_export_rows", _A + " SELECT kind, count(*) AS n FROM atoms GROUP BY kind")
+@query("k02_export_rows", _A + " SELECT id, kind, project, created_at, status FROM atoms")
 def k02(v):
-    return v.atoms.groupBy("kind").agg(F.count("*").alias("n"))
+    """The rows of an export, read back from its files."""
+    path = shared_folder(v.spark)
+    rows = v.atoms.select("id", "kind", "project", "created_at", "status")
+    return store.import_jsonl(v.spark, rows.schema, path, store.export_jsonl(rows, "id", path))
 
 
 @query("t05_seeded_sample", "SELECT event_id FROM (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events) ORDER BY h, event_id LIMIT 50")

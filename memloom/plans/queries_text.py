@@ -84,8 +84,8 @@ def f15(v):
 
 @query("f15_all_questions")
 def f15b(v):
-    t = v.raw("conversations").filter("turn = 0")
-    return t.select("conv_id", tx.chat_question(F.lit("notes"), "role", "text").alias("chat"), tx.sender_question(F.lit("sam"), "text").alias("sender"), tx.session_question(F.lit("p1"), "text").alias("session"), tx.email_question(F.lit(""), F.lit(""), "text").alias("email"))
+    t = v.raw("conversations")
+    return t.select("conv_id", "turn", tx.chat_question(F.lit("notes"), "role", "text").alias("chat"), tx.sender_question(F.lit("sam"), "text").alias("sender"), tx.session_question(F.lit("p1"), "text").alias("session"), tx.email_question(F.lit(""), F.lit(""), "text").alias("email"))
 
 
 @query("f17_ics_date", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS at, strftime(ts, '%Y-%m-%d') AS day FROM events")

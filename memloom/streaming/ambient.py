@@ -21,20 +21,17 @@ def capture(deltas: DataFrame, path: str, checkpoint: str, distill: Callable[[Da
     """Writes the spans of a stream of transcript rows (session_id, offset, role, text)
     as atoms below path, each source reference once.
 
-    A batch writes a folder of its own, replaced if the batch runs again, and leaves
-    out what earlier batches wrote; so a restart neither loses nor repeats a span.
-    distill may reword a batch's spans; without it they are kept verbatim.
+    References are kept in the stream's state, so a batch costs what it brings and not
+    what went before.  It writes a folder of its own, replaced if the batch runs again,
+    and state and input are taken up where the checkpoint left them; so a restart neither
+    loses nor repeats a span.  distill may reword a batch's spans; without it they are
+    kept verbatim.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = spans(batch).dropDuplicates(["source_ref"])
-        if number:
-            seen = spark.read.option("recursiveFileLookup", "true").schema("source_ref string").parquet(*[f"{path}/batch={n}" for n in range(number)])
-            new = new.join(seen, "source_ref", "left_anti")
-        (distill(new) if distill else new).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return deltas.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+        (distill(batch) if distill else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return spans(deltas).dropDuplicates(["source_ref"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
 def near_copies(candidates: DataFrame, atoms: DataFrame, floor: float = NEAR, recent: int = RECENT) -> DataFrame:
