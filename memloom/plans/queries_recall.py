@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions import entities
 from memloom.functions import text as tx
 from memloom.operators import graph, ranking, recall, store, trust
 from memloom.plans.registry import query
@@ -56,8 +57,6 @@ def _memory(v: Views) -> recall.Memory:
 
 
 def _labels(v: Views):
-    from memloom.functions import entities
-
     return entities.native_mentions(v.raw("benchmark"), "item_id").select(F.col("doc_id").alias("query_id"), "label").distinct()
 
 
@@ -247,7 +246,24 @@ def _recalled(v: Views, **more):
     return recall.recall(_memory(v), _asked(v), _labels(v), NOW, recall.Request(**more))
 
 
-@query("r24_recall")
+#: The whole recall of memory kinds, as SQL: signals, fusion, facets, priors, trust.
+_WHOLE_SQL = TERMS_SQL.replace(with_views("atoms", "vectors"), with_views("atoms", "vectors", "entity_facets")) + ", labels AS (SELECT DISTINCT item_id AS query_id, label FROM (" + entities.MENTIONS_SQL.replace("documents", "benchmark").replace("doc_id", "item_id") + """)),
+hits AS (SELECT query_id, doc_id, signal, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, score, 'bm25' AS signal FROM fts JOIN live ON id = doc_id WHERE class_pos = 0 UNION ALL SELECT query_id, doc_id, score, 'dense' FROM dense JOIN live ON id = doc_id WHERE class_pos = 0)),
+fused AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score, bool_or(signal = 'bm25') AS kw, bool_or(signal = 'dense') AS sem FROM hits WHERE rank <= 200 GROUP BY query_id, doc_id),
+met AS (SELECT f.*, EXISTS (SELECT 1 FROM entity_facets e JOIN labels l ON l.label = e.value WHERE e.atom_id = f.doc_id AND l.query_id = f.query_id) AS facet FROM fused f),
+scored AS (SELECT m.*, round((CASE WHEN facet THEN m.score * 1.15 ELSE m.score END) * (1 + least(importance, 1.0)) * (0.5 + 0.5 * exp(-greatest(0.0, (1740000000 - coalesce(occurred_at, created_at))::DOUBLE) / 7776000.0)), 12) AS final,
+  0.5 + 0.5 * exp(-greatest(0.0, (1740000000 - coalesce(occurred_at, created_at))::DOUBLE) / (180 * 86400.0)) AS fresh, a.project, a.text FROM met m JOIN atoms a ON a.id = m.doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, doc_id) AS position FROM scored),
+gaps AS (SELECT query_id, max(final) FILTER (WHERE position = 1) - max(final) FILTER (WHERE position = 2) AS gap FROM placed GROUP BY query_id),
+led AS (SELECT p.*, least(1.0, 0.5 + CASE WHEN kw AND sem THEN 0.4 ELSE 0 END + CASE WHEN facet THEN 0.1 ELSE 0 END) AS agree,
+  CASE WHEN position > 1 THEN 0.5 WHEN gap IS NULL THEN 1.0 ELSE greatest(0.5, 1 - exp(-greatest(0.0, gap) / 1.5)) END AS lead FROM placed p JOIN gaps g ON g.query_id = p.query_id),
+judged AS (SELECT *, greatest(0.0, least(1.0, 0.5 * agree + 0.3 * lead + 0.2 * fresh)) AS confidence,
+  concat_ws(', ', CASE WHEN kw AND sem THEN 'both signals agree' WHEN kw THEN 'keyword signal only' ELSE 'semantic signal only' END, CASE WHEN facet THEN 'facet match' END,
+    CASE WHEN position = 1 AND lead >= 0.75 THEN 'decisive gap' WHEN position = 1 AND lead <= 0.5 THEN 'tight gap' END, CASE WHEN fresh >= 0.9 THEN 'recent' WHEN fresh <= 0.6 THEN 'aged' END) AS why FROM led WHERE position <= 10)"""
+
+
+@query("r24_recall", _WHOLE_SQL + " SELECT query_id, doc_id, CAST(position AS INTEGER) AS position, round(confidence, 6) AS confidence, why, confidence >= 0.6 AS should_trust FROM judged")
 def r24(v):
     return _recalled(v).select("query_id", "doc_id", "position", F.round("confidence", 6).alias("confidence"), "why", "should_trust")
 
@@ -267,7 +283,7 @@ def r25(v):
     return recall.records(_memory(v), _recalled(v))
 
 
-@query("r26_listing")
+@query("r26_listing", _WHOLE_SQL + " SELECT query_id, CAST(position AS INTEGER) AS position, '- [' || CAST(round(confidence * 100) AS INTEGER) || '%] (' || coalesce(project, '-') || ') ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 300) AS line FROM judged")
 def r26(v):
     return recall.listing(_memory(v), _recalled(v))
 
