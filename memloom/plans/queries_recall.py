@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import entities
 from memloom.functions import text as tx
 from memloom.operators import graph, ranking, recall, store, trust
+from memloom.plans.queries_text import _GIST_SQL
 from memloom.plans.registry import query
 from memloom.plans.views import NOW, Views, with_views
 from memloom.sources.tables import durable
@@ -278,7 +279,10 @@ def r22(v):
     return recall.payload(_memory(v), _recalled(v))
 
 
-@query("r25_records")
+@query("r25_records", _WHOLE_SQL + ", " + _GIST_SQL + """
+, fitted AS (SELECT *, sum(ceil(length(text) / 3.0)) OVER (PARTITION BY query_id ORDER BY position) <= 1500 AS fits FROM judged)
+SELECT f.query_id, CAST(f.position AS INTEGER) AS position, f.doc_id, a.kind, f.project, round(f.confidence, 6) AS confidence, CASE WHEN fits THEN 'body' ELSE 'handle' END AS delivery, CASE WHEN fits THEN f.text ELSE g.gist END AS body
+FROM fitted f JOIN atoms a ON a.id = f.doc_id JOIN gists g ON g.id = f.doc_id""")
 def r25(v):
     return recall.records(_memory(v), _recalled(v))
 

@@ -255,7 +255,10 @@ def t05(v):
     return v.raw("events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("h")).orderBy("h", "event_id").limit(50).select("event_id")
 
 
-@query("st2_near_copy_gate")
+@query("st2_near_copy_gate", with_views("vectors") + """
+, last AS (SELECT atom_id, embedding::DOUBLE[] AS e FROM vectors WHERE atom_id % 10 <> 0 ORDER BY atom_id DESC LIMIT 200),
+x AS (SELECT c.atom_id AS id, l.atom_id, list_cosine_similarity(c.embedding::DOUBLE[], e) AS similarity FROM vectors c CROSS JOIN last l WHERE c.atom_id % 10 = 0)
+SELECT id, atom_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, atom_id) AS n FROM x WHERE similarity >= 0.3) WHERE n = 1""")
 def st2(v):
     from memloom.streaming import ambient
 
@@ -263,7 +266,11 @@ def st2(v):
     return ambient.near_copies(e.filter("atom_id % 10 = 0").select(F.col("atom_id").alias("id"), "embedding"), e.filter("atom_id % 10 <> 0").select("atom_id", "embedding", F.col("atom_id").alias("t")), floor=0.3).select("id", "atom_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("st3_drift_notices")
+@query("st3_drift_notices", """
+WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id FROM events WHERE event_id % 3 = 0 AND event_id % 7 <> 0),
+walk AS (SELECT session_id, min({'t': t, 'e': event_id}) AS m FROM h GROUP BY session_id
+  UNION ALL SELECT w.session_id, min({'t': h.t, 'e': h.event_id}) FROM walk w JOIN h ON h.session_id = w.session_id AND h.t >= w.m.t + 900 GROUP BY w.session_id)
+SELECT session_id, m.t AS "at", m.e AS atom_id, CAST(0.98 AS DOUBLE) AS score FROM walk""")
 def st3(v):
     from memloom.streaming import ambient
 
