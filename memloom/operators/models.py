@@ -7,6 +7,7 @@ batches in the workers, so they must be picklable.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from memloom.operators import store
 from memloom.operators.graph import top_by
 
+log = logging.getLogger(__name__)
+
 Scorer = Callable[[list[str], list[str]], list[float]]
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -44,6 +47,27 @@ def hashed_words(texts: list[str], dim: int = 64) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
+def embedded_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
+    """(query_id, q) of queries (query_id, query_text).  A batch that the embedder fails on
+    has no rows: its vectors are evidence that a recall can do without."""
+    out = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("q", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            try:
+                x = np.asarray(embedder(b.column(1).to_pylist()), float)
+                if x.ndim != 2 or len(x) != b.num_rows:
+                    raise ValueError(f"vectors of shape {x.shape} for {b.num_rows} texts")
+            except Exception as e:  # whatever a remote model may raise
+                log.warning("auxiliary embedder failed: %s", e)
+                continue
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=out.names)
+
+    return queries.select("query_id", F.coalesce("query_text", F.lit("")).alias("query_text")).mapInArrow(run, out)
+
+
 def _scored(hits: DataFrame, queries: DataFrame, texts: DataFrame, scorer: Scorer, chars: int | None) -> DataFrame:
     """hits with a column ce; a hit whose document is missing fails the job."""
     body = F.substring("text", 1, chars) if chars else F.col("text")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memloom.functions import text as tx
-from memloom.operators import ranking, store, trust
+from memloom.operators import enrich, models, ranking, store, trust
 from memloom.operators.graph import top_by
 from memloom.sources.tables import durable
 
@@ -23,11 +23,22 @@ class Memory:
     facets: DataFrame
     supersedes: DataFrame
     vectors: DataFrame
+    edges: DataFrame | None = None  # src_atom, dst_atom, type, weight
+    files: DataFrame | None = None  # source_ref, text
+
+
+@dataclass(frozen=True)
+class Auxiliary:
+    """A second embedder of queries and the vectors (doc_id, embedding) of its model."""
+
+    embedder: models.Embedder
+    vectors: DataFrame
 
 
 @dataclass(frozen=True)
 class Request:
-    """Parameters that all queries of a batch share."""
+    """Parameters that all queries of a batch share; rerank and enrich are the tier's
+    where they aren't given."""
 
     tier: str = "L2"
     kinds: tuple[str, ...] | None = None
@@ -38,15 +49,22 @@ class Request:
     budget: int = 1500
     per_signal: int = 200
     head: int = 64
+    rerank: bool | None = None
+    enrich: bool | None = None
+    scorer: models.Scorer = models.word_share
 
     def __post_init__(self):
         if not 1 <= self.k <= 200 or not 1 <= self.budget <= 8000:
             raise ValueError("k is 1 to 200, the budget 1 to 8000")
+        _, rerank, enriched = store.tier_defaults(self.tier)
+        object.__setattr__(self, "rerank", rerank if self.rerank is None else self.rerank)
+        object.__setattr__(self, "enrich", enriched if self.enrich is None else self.enrich)
 
 
-def signals(memory: Memory, queries: DataFrame, req: Request) -> DataFrame:
+def signals(memory: Memory, queries: DataFrame, req: Request, aux: Auxiliary | None = None) -> DataFrame:
     """Lexical and dense candidates: query_id, doc_id, signal, class_pos, rank, score;
-    ranks run over the classes in order, memory first, within all scopes."""
+    ranks run over the classes in order, memory first, within all scopes.  An auxiliary
+    embedder adds a third signal, aux; what it fails to embed adds nothing."""
     kinds = req.kinds if req.kinds is not None else store.tier_defaults(req.tier)[0]
     within = store.scoped(memory.atoms, memory.provenance, kinds, req.project, req.time_scope, req.agent).select(F.col("id").alias("doc_id"), store.kind_class().alias("class_pos"))
     # statistics cover all atoms, retired ones too; scopes come before the top-k
@@ -57,34 +75,65 @@ def signals(memory: Memory, queries: DataFrame, req: Request) -> DataFrame:
     lexical = posts.score(terms.select("query_id", "term"), ranking.bm25_fts(), within.select("doc_id")).withColumn("signal", F.lit("bm25"))
     dense = queries.filter("q IS NOT NULL").select("query_id", "q")
     dense = ranking.dense_top(dense, memory.vectors.join(within, "doc_id"), req.per_signal, by=("query_id", "class_pos")).drop("rank", "class_pos").withColumn("signal", F.lit("dense"))
-    both = lexical.select("query_id", "doc_id", "score", "signal").union(dense.select("query_id", "doc_id", "score", "signal")).join(within, "doc_id")
+    cols = ["query_id", "doc_id", "score", "signal"]
+    both = lexical.select(*cols).union(dense.select(*cols))
+    if aux is not None:
+        asked = models.embedded_queries(queries, aux.embedder)
+        third = ranking.dense_top(asked, aux.vectors.join(within, "doc_id"), req.per_signal, by=("query_id", "class_pos"))
+        both = both.union(third.withColumn("signal", F.lit("aux")).select(*cols))
+    both = both.join(within, "doc_id")
     best = top_by(both, req.per_signal, by=("query_id", "signal", "class_pos")).drop("rank")
     order = Window.partitionBy("query_id", "signal").orderBy("class_pos", F.desc("score"), "doc_id")
     return best.withColumn("rank", F.row_number().over(order))
 
 
-def recall(memory: Memory, queries: DataFrame, labels: DataFrame, now: int, req: Request = Request()) -> DataFrame:
+def reranked(ordered: DataFrame, queries: DataFrame, atoms: DataFrame, scorer: models.Scorer, cap: int = 50) -> DataFrame:
+    """ordered with its first ``cap`` positions in the scorer's order and with its scores;
+    ties keep their order, the others their places."""
+    texts = atoms.select(F.col("id").alias("doc_id"), "text")
+    head = models.rerank_replace(ordered.select("query_id", "doc_id", "score", F.col("position").alias("rank")), queries, texts, scorer, cap)
+    new = head.select("query_id", "doc_id", F.col("score").alias("_ce"), F.col("rank").alias("_place"))
+    x = ordered.join(new, ["query_id", "doc_id"], "left")
+    return x.withColumns({"score": F.coalesce("_ce", "score"), "position": F.coalesce("_place", "position")}).drop("_ce", "_place")
+
+
+def recall(memory: Memory, queries: DataFrame, labels: DataFrame, now: int, req: Request = Request(), aux: Auxiliary | None = None) -> DataFrame:
     """Trusted, ordered results of queries (query_id, query_text, q): one row per hit.
 
     labels (query_id, label) are the entities of the queries, for the facet boost.
-    A blank query has no rows.
+    A blank query has no rows.  A hit of the auxiliary list is dense evidence.
     """
     asked = queries.filter(F.trim("query_text") != "")
-    hits = durable(signals(memory, asked, req))  # read by both lists and the tags
+    hits = durable(signals(memory, asked, req, aux))  # read by all lists and the tags
     tags = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("signal")).alias("tags"), F.min("class_pos").alias("class_pos"))
-    fused = ranking.rrf([(hits.filter("signal = 'bm25'"), 1.0), (hits.filter("signal = 'dense'"), 1.0)]).drop("first")
+    if aux is not None:
+        tags = tags.withColumn("tags", F.when(F.array_contains("tags", "aux"), F.array_union("tags", F.array(F.lit("dense")))).otherwise(F.col("tags")))
+    fused = ranking.rrf([(hits.filter(F.col("signal") == s), 1.0) for s in ("bm25", "dense", *(["aux"] if aux is not None else []))]).drop("first")
     boosted = ranking.facet_boost(fused, memory.facets.filter("key = 'entity'"), labels)
     scored = ranking.priors(boosted, memory.atoms, now, req.time_scope)
     ordered = ranking.interleave(scored.join(tags, ["query_id", "doc_id"]), req.head)
+    if req.rerank:
+        ordered = reranked(durable(ordered), asked, memory.atoms, req.scorer, min(50, req.head))
     marked = durable(ordered).withColumn("signals", F.when(F.col("facet"), F.concat("tags", F.array(F.lit("facet")))).otherwise(F.col("tags")))
     judged = trust.assess(marked.select("query_id", "doc_id", "score", "position", "signals"), memory.atoms, memory.provenance, trust.chain_ends(memory.supersedes), now)
     place = Window.partitionBy("query_id").orderBy("position")
     return judged.withColumn("position", F.row_number().over(place)).filter(F.col("position") <= req.k)
 
 
-def payload(memory: Memory, results: DataFrame, budget: int = 1500) -> DataFrame:
-    """One text per query within its token budget."""
-    return trust.payloads(trust.rendered(results, memory.atoms, memory.provenance), budget)
+def payload(memory: Memory, results: DataFrame, budget: int = 1500, enriched: bool = False) -> DataFrame:
+    """One text per query within its token budget; enriched entries of chunks say where
+    they stand and what they relate to, as far as the budget reaches."""
+    shown = trust.rendered(results, memory.atoms, memory.provenance)
+    if enriched:
+        extra = enrich.attachments(results, memory.atoms, memory.provenance, memory.facets, memory.edges, memory.files)
+        shown = trust.enriched(shown.join(extra, "doc_id", "left"), budget)
+    return trust.payloads(shown, budget)
+
+
+def answer(memory: Memory, queries: DataFrame, labels: DataFrame, now: int, req: Request = Request(), aux: Auxiliary | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results and payloads as the tier wants them; queries without results have none."""
+    results = durable(recall(memory, queries, labels, now, req, aux))
+    return results, payload(memory, results, req.budget, bool(req.enrich))
 
 
 def records(memory: Memory, results: DataFrame, budget: int = 1500) -> DataFrame:

@@ -16,7 +16,7 @@ from memloom.functions import text as tx
 from memloom.plans.views import CODE_KINDS, MEMORY_KINDS
 
 KIND_CLASSES = (("memory", MEMORY_KINDS), ("code", CODE_KINDS))
-TIERS = {"L2": (MEMORY_KINDS, False, False), "L3": (None, True, True)}
+TIERS = {"L2": (MEMORY_KINDS, False, True), "L3": (None, False, True)}
 
 
 def tier_defaults(tier: str):

@@ -114,6 +114,26 @@ def rendered(results: DataFrame, atoms: DataFrame, provenance: DataFrame) -> Dat
     return x.select("query_id", "doc_id", "position", "confidence", "should_trust", handle.alias("handle"), F.concat_ws("\n", plain, tx.indented("text"), source).alias("entry"))
 
 
+def enriched(lines: DataFrame, budget: int = 1500) -> DataFrame:
+    """lines (query_id, position, should_trust, handle, entry, extra) with as many of the
+    array extra appended to each trusted entry as fit into what its predecessors leave of
+    the budget; the last go first.  Null extra is empty.
+
+    Only lengths are folded, in rank order; texts stay in their rows."""
+    extra = F.coalesce("extra", F.array().cast("array<string>"))
+    size = lambda n: F.slice(extra, 1, n)
+    whole = F.transform(F.sequence(F.lit(0), F.size(extra)), lambda n: F.length("entry") + F.aggregate(size(n), F.lit(0), lambda s, line: s + 1 + F.length(line)))
+    x = lines.withColumn("lens", F.when(F.col("should_trust"), whole).otherwise(F.array(F.length("handle"))))
+    tokens = lambda chars: F.ceil(chars / tx.CHARS_PER_TOKEN)
+    fits = lambda s, r: F.size(F.filter(r["lens"], lambda n: tokens(n) <= budget - F.when(s["used"] == 0, 0).otherwise(tokens(s["used"] - 2) + 1)))
+    step = lambda s, r: F.struct((s["used"] + 2 + F.element_at(r["lens"], F.greatest(F.lit(1), fits(s, r)))).alias("used"), (F.greatest(F.lit(1), fits(s, r)) - 1).alias("n"))
+    w = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("so_far", F.collect_list(F.struct("position", "lens")).over(w))
+    x = x.withColumn("n", F.aggregate("so_far", F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), step)["n"])
+    entry = F.when(F.col("should_trust"), F.array_join(F.concat(F.array("entry"), F.slice(extra, F.lit(1), F.col("n"))), "\n")).otherwise(F.col("entry"))
+    return x.withColumn("entry", entry).drop("extra", "lens", "so_far", "n")
+
+
 def payloads(lines: DataFrame, budget: int = 1500) -> DataFrame:
     """One text per query within a token budget: entries while they fit, then handles
     from the first misfit on; without a trusted result, a notice and three handles.

@@ -254,12 +254,10 @@ back AS (SELECT f.atom_id AS q, g.atom_id AS r, round(sum(1.0 / n), 9) AS w FROM
 every AS (SELECT *, true AS stored FROM kept UNION ALL SELECT *, false FROM back)
 SELECT q AS query_id, r AS doc_id, round(w, 6) AS weight, CAST(rank AS INTEGER) AS rank, stored FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY w DESC, r) AS rank FROM every) WHERE rank <= 2""")
 def r23(v):
-    d = v.raw("documents").filter("doc_id % 7 = 0")
-    edges = d.select(F.col("doc_id").alias("src_atom"), (F.col("doc_id") + 5).alias("dst_atom"), ((F.col("doc_id") % 10) / 10.0).alias("weight")).union(d.select("doc_id", F.col("doc_id") + 6, F.lit(0.55)))
     chunks = v.atoms.filter("status = 'live' AND kind = 'document_chunk'").select(F.col("id").alias("query_id"))
     memory = v.atoms.filter("status = 'live' AND kind IN ('atom', 'narrative', 'snapshot')").select(F.col("id").alias("doc_id"))
     facets = v.entity_facets.select("atom_id", "value").join(_degree(v, 30), "value")
-    found = enrich.relations(chunks, edges, enrich.related(chunks, facets, memory, 30, 2), v.atoms)
+    found = enrich.relations(chunks, v.relates, enrich.related(chunks, facets, memory, 30, 2), v.atoms)
     return found.select("query_id", "doc_id", F.round("weight", 6).alias("weight"), "rank", "stored")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import entities
 from memloom.functions import text as tx
-from memloom.operators import graph, ranking, recall, store, trust
+from memloom.operators import graph, models, ranking, recall, store, trust
 from memloom.plans.queries_text import _GIST_SQL
 from memloom.plans.registry import query
 from memloom.plans.views import NOW, Views, with_views
@@ -274,11 +276,37 @@ def r24b(v):
     return _recalled(v, tier="L3", kinds=("atom", "narrative"), agent="en", time_scope=(1_600_000_000, NOW)).select("query_id", "doc_id", "position", F.round("confidence", 6).alias("confidence"), "why", "should_trust")
 
 
+def _auxiliary(v: Views) -> recall.Auxiliary:
+    """Another model: its vectors are counts of words, and so are the queries'."""
+    atoms = v.atoms.select(F.col("id").alias("query_id"), F.col("text").alias("query_text"))
+    return recall.Auxiliary(models.hashed_words, durable(models.embedded_queries(atoms, models.hashed_words)).select(F.col("query_id").alias("doc_id"), F.col("q").alias("embedding")))
+
+
+@query("r24_recall_auxiliary")
+def r24c(v):
+    found = recall.recall(_memory(v), _asked(v), _labels(v), NOW, aux=_auxiliary(v))
+    return found.select("query_id", "doc_id", "position", F.round("confidence", 6).alias("confidence"), "why", "should_trust")
+
+
+@query("r24_recall_reranked", _WHOLE_SQL.replace("placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, doc_id) AS position FROM scored)", """asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM benchmark),
+first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, doc_id) AS old FROM scored),
+shares AS (SELECT f.* EXCLUDE (final), CASE WHEN old > 50 THEN final WHEN len(ws) = 0 THEN 0 ELSE len(list_intersect(ws, regexp_extract_all(lower(text), '[a-z0-9]+')))::DOUBLE / len(ws) END AS final FROM first f JOIN asked a ON a.query_id = f.query_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN old <= 50 THEN 0 ELSE 1 END, CASE WHEN old <= 50 THEN final END DESC, old) AS position FROM shares)""") + " SELECT query_id, doc_id, CAST(position AS INTEGER) AS position, round(confidence, 6) AS confidence, why, confidence >= 0.6 AS should_trust FROM judged")
+def r24d(v):
+    return _recalled(v, rerank=True).select("query_id", "doc_id", "position", F.round("confidence", 6).alias("confidence"), "why", "should_trust")
+
+
 @query("r22_payload")
 def r22(v):
     return recall.payload(_memory(v), _recalled(v))
 
 
+@query("r22_payload_enriched")
+def r22b(v):
+    memory = replace(_memory(v), edges=v.relates, files=v.raw("documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_ref"), "text"))
+    return recall.answer(memory, _asked(v), _labels(v), NOW, recall.Request(tier="L3"))[1]
+
+
 @query("r25_records", _WHOLE_SQL + ", " + _GIST_SQL + """
 , fitted AS (SELECT *, sum(ceil(length(text) / 3.0)) OVER (PARTITION BY query_id ORDER BY position) <= 1500 AS fits FROM judged)
 SELECT f.query_id, CAST(f.position AS INTEGER) AS position, f.doc_id, a.kind, f.project, round(f.confidence, 6) AS confidence, CASE WHEN fits THEN 'body' ELSE 'handle' END AS delivery, CASE WHEN fits THEN f.text ELSE g.gist END AS body

@@ -68,6 +68,13 @@ class Views:
         ids = self.raw("documents").select("doc_id")
         return ids.filter("doc_id % 17 = 0").select((F.col("doc_id") + 1).alias("src_atom"), F.col("doc_id").alias("dst_atom")).join(ids.withColumnRenamed("doc_id", "src_atom"), "src_atom", "left_semi")
 
+    @cached_property
+    def relates(self) -> DataFrame:
+        """Stored edges (src_atom, dst_atom, type, weight), two of every seventh atom."""
+        d = self.raw("documents").filter("doc_id % 7 = 0")
+        edges = d.select(F.col("doc_id").alias("src_atom"), (F.col("doc_id") + 5).alias("dst_atom"), ((F.col("doc_id") % 10) / 10.0).alias("weight")).union(d.select("doc_id", F.col("doc_id") + 6, F.lit(0.55)))
+        return edges.withColumn("type", F.lit("relates"))
+
     @cached_property
     def embeddings(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("vec_id").alias("atom_id"), F.lit("m0").alias("model_id"), "embedding")

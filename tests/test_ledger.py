@@ -82,8 +82,8 @@ def test_chunks_are_located(spark):
     text = "first line\n\n second   line here\nthird one\nlast"
     assert python_text.locate_chunk(text, "line here third") == (3, 4) and python_text.locate_chunk(text, "first") == (1, 1)
     assert python_text.locate_chunk(text, "irst line") is None and python_text.locate_chunk(text, " ") is None and python_text.locate_chunk("", "a") is None
-    chunks = spark.createDataFrame([(1, "f", "third one last"), (2, "f", "no such"), (3, "g", "x")], "query_id long, source_ref string, text string")
-    assert [tuple(r) for r in enrich.locations(chunks, spark.createDataFrame([("f", text)], "source_ref string, text string")).collect()] == [(1, "at: f:4-5")]
+    chunks = spark.createDataFrame([(1, "f#s2", "third one last"), (2, "f", "no such"), (3, "g", "x")], "query_id long, source_ref string, text string")
+    assert [tuple(r) for r in enrich.locations(chunks, spark.createDataFrame([("f", text)], "source_ref string, text string")).collect()] == [(1, "at f#L4-5")]
 
 
 def test_relations_prefer_stored_edges(spark):
@@ -93,7 +93,7 @@ def test_relations_prefer_stored_edges(spark):
     back = spark.createDataFrame([(0, 2, 9.0), (1, 2, 0.1), (1, 4, 0.3)], "query_id long, doc_id long, score double")
     got = enrich.relations(chunks, edges, back, atoms)
     assert sorted((r.query_id, r["rank"], r.doc_id, r.stored) for r in got.collect()) == [(0, 1, 5, True), (0, 2, 4, True), (1, 1, 4, False), (1, 2, 2, False)]
-    assert {r.query_id: r.relates for r in enrich.lines(got, atoms).collect()}[1] == "relates: text 4\nrelates: text 2"
+    assert {r.query_id: r.relates for r in enrich.lines(got, atoms).collect()}[1] == ["relates -> p3://4 text 4", "relates -> p3://2 text 2"]
 
 
 FEEDBACK = "event_id long, receipt_id long, atom_id long, feedback_type string, agent string, task_id string, note string"
