@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,13 +41,14 @@ def two_stage(graph_hits: DataFrame, queries: DataFrame, vectors: DataFrame, uns
     return top_by(ranking.agreement_merge(hits, dense), k).select("query_id", "doc_id", "score", "source", "rank")
 
 
-def learn_gaps(queries: DataFrame, graph_hits: DataFrame, dense_hits: DataFrame, docs: DataFrame, least: int = 1, most: int = 10_000) -> DataFrame:
+def learn_gaps(queries: DataFrame, graph_hits: DataFrame, dense_hits: DataFrame, docs: DataFrame, least: int = 1, most: int = 10_000, on_learn: Callable[[dict], None] | None = None) -> DataFrame:
     """Terms (term, frequency, first_query) of queries that the graph knows nothing about
     while dense search does.
 
     A term counts once for every such query, and once more for each of the query's
     three best dense hits one of whose own terms holds it.  Unlike a sequential learner the frequency is over
     the whole batch.  At most ``most`` are learnt, those of the first queries.
+    on_learn is called for each of them, in this order, once they are written.
     """
     gap = queries.join(graph_hits.select("query_id").distinct(), "query_id", "left_anti").join(dense_hits.select("query_id").distinct(), "query_id", "left_semi")
     asked = gap.select("query_id", F.explode(F.array_distinct(tx.learner_candidates("query_text"))).alias("term"))
@@ -55,7 +56,13 @@ def learn_gaps(queries: DataFrame, graph_hits: DataFrame, dense_hits: DataFrame,
     seen = best.select("query_id", tx.learner_candidates("text").alias("own"))
     held = asked.join(seen, "query_id").filter(F.exists("own", lambda w: w.contains(F.col("term")))).select("query_id", "term")
     counted = asked.unionByName(held).groupBy("term").agg(F.count("*").alias("frequency"), F.min("query_id").alias("first_query"))
-    return counted.filter(F.col("frequency") >= least).orderBy("first_query", "term").limit(most)
+    learned = counted.filter(F.col("frequency") >= least).orderBy("first_query", "term").limit(most)
+    if on_learn is None:
+        return learned
+    learned = durable(learned)
+    for row in learned.orderBy("first_query", "term").toLocalIterator():  # no more than most
+        on_learn(row.asDict())
+    return learned
 
 
 def inject_learned(results: DataFrame, queries: DataFrame, learned: DataFrame, docs: DataFrame, k: int = 50, boost: float = 0.5, most: int = 10_000) -> DataFrame:

@@ -9,7 +9,7 @@ read by Spark's own readers, so any store and any number of files will do.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from memloom.functions import text as tx
 from memloom.functions.python_text import chunk_text, chunks
+from memloom.sources.tables import counted
 
 COLUMNS = ("doc_id", "content", "value", "query", "source", "timestamp")
 # Names under which comment exports keep text and time.
@@ -151,10 +152,22 @@ def read_places(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _documents(x.select(F.concat(F.lit("gmaps-"), key).alias("doc_id"), content.alias("content"), F.col("shown").alias("value"), F.concat(F.lit("Where is "), "shown", F.lit("?")).alias("query"), F.lit(None).alias("timestamp")), "google_maps")
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, line, raw) of text files, lines from 0; a file is read in splits by many tasks.
+
+    Rows of a split have consecutive numbers, so a line's place is that in its split plus
+    the lines of the splits before it: of these, only counts are gathered."""
+    rows = spark.read.option("lineSep", "\n").text(paths).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(splits, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).cast("int").alias("line"), "raw")
+
+
 def read_session_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Session logs as JSON lines: events by file and line; where a file has assistant
     messages as response items, their copies among event messages are left out."""
-    lines = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw")).filter(F.trim("raw") != "")
+    lines = numbered_lines(spark, paths).filter(F.trim("raw") != "")
     schema = "type string, payload struct<type:string,role:string,message:string,content:array<struct<type:string,text:string>>,name:string,arguments:string>"
     x = lines.select("file", "line", F.from_json("raw", schema).alias("j")).filter("j.type IS NOT NULL").select("file", "line", F.col("j.type").alias("kind"), "j.payload.role", "j.payload.message", "j.payload.content", "j.payload.name", "j.payload.arguments", F.col("j.payload.type").alias("ptype"))
     items = (F.col("kind") == "response_item") & (F.col("ptype") == "message") & (F.col("role") == "assistant")
@@ -175,3 +188,17 @@ def spans(deltas: DataFrame) -> DataFrame:
 
 
 READERS = {"chatgpt": read_chat_export, "facebook": read_messenger_export, "email": read_mail, "google_calendar": read_calendar, "youtube": read_comments, "google_maps": read_places}
+
+
+def ingest(spark: SparkSession, sources: dict[str, str | list[str]], progress: Callable[[str, int], None] | None = None) -> DataFrame:
+    """The documents of all sources (a reader's name: paths), written one source after
+    another; progress hears when one starts, with 0, and how many documents it gave."""
+    if not sources or not sources.keys() <= READERS.keys():
+        raise ValueError(f"sources are some of {sorted(READERS)}, not {sorted(sources)}")
+    tell = progress or (lambda name, n: None)
+    out = None
+    for name, paths in sources.items():
+        tell(f"Starting {name}", 0)
+        one = counted(READERS[name](spark, paths).select(*COLUMNS), lambda n, name=name: tell(f"Finished {name}", n))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def counted(df: DataFrame, done: Callable[[int], None]) -> DataFrame:
+    """durable(df); done gets the number of rows, counted while they were written."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    done(seen.get["rows"])
+    return out
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written to the folder that driver and executors share, and read back:
     lineage ends there, and losing an executor costs a reread only."""

@@ -39,6 +39,9 @@ def test_gaps_are_learnt_and_injected(spark):
     assert got == {(2, 5, 1.0), (1, 7, 0.5), (1, 8, 0.5)}
     assert hybrid.inject_learned(g, q, learned.limit(0), docs).count() == 1
     assert hybrid.learn_gaps(q, g, d, docs, least=2).count() == 1
+    heard = []
+    assert hybrid.learn_gaps(q, g, d, docs, on_learn=heard.append).count() == 3
+    assert [(h["term"], h["frequency"]) for h in heard] == [("hangar", 1), ("zeppelin", 2), ("zeppelin hangar", 1)]
 
 
 def test_context_keeps_the_first_place(spark):
