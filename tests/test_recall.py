@@ -112,3 +112,13 @@ def test_whole_recall_with_all_switches(spark, memory):
     failed = recall.recall(memory, asked, labels, 1_700_000_000, req, recall.Auxiliary(broken, vectors)).collect()
     without = recall.recall(memory, asked, labels, 1_700_000_000, req).collect()
     assert sorted(failed) == sorted(without)
+
+
+def test_frequent_terms_count_in_large_stores(spark, memory):
+    ids = spark.range(10_001).withColumn("text", F.when(F.col("id") == 7, "common rare").otherwise("common"))
+    columns = {"kind": F.lit("atom"), "project": F.lit("p"), "created_at": F.lit(1), "occurred_at": F.lit(1), "importance": F.lit(0.5), "status": F.lit("live")}
+    large = recall.Memory(ids.withColumns(columns), memory.provenance, memory.facets, memory.supersedes, memory.vectors.limit(0))
+    asked = spark.createDataFrame([(1, "common rare", None)], "query_id long, query_text string, q array<double>")
+    ranks = lambda **more: [r.doc_id for r in recall.signals(large, asked, recall.Request(per_signal=4, **more)).orderBy("rank").collect()]
+    assert ranks() == [7, 0, 1, 2]
+    assert ranks(prune=True) == [7]
