@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from memloom.functions import text as tx
 from memloom.operators import enrich, models, recall, store, trust
 
 LINES = "query_id long, doc_id long, position int, confidence double, should_trust boolean, handle string, entry string, extra array<string>"
@@ -122,3 +123,12 @@ def test_frequent_terms_count_in_large_stores(spark, memory):
     ranks = lambda **more: [r.doc_id for r in recall.signals(large, asked, recall.Request(per_signal=4, **more)).orderBy("rank").collect()]
     assert ranks() == [7, 0, 1, 2]
     assert ranks(prune=True) == [7]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [0.0040899725, 0.0020093775, 1.0000000005, -0.0040899725, 0.5, 2.5, 0.0, 1e-10]
+    x = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = [r.v for r in x.select("k", tx.rounded("v", 9).alias("v")).orderBy("k").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchone()[0] for v in values]
+    assert got[0] == 0.004089972
