@@ -128,3 +128,27 @@ def test_fingerprint_by_hand():
     texts = [None, "", " \t\n", "One", "one two three", "one two three four", "A b\x0bC d\x1ce É f É g", "a b c d a b c d a b c d", "x " * 700, " y z w v u t"]
     texts += [" ".join(words(RNG.randint(1, 90))).upper() for _ in range(30)]
     assert [simhash.fingerprint(t) for t in texts] == [by_hand(t) for t in texts]
+
+
+def test_sizes_that_rule_out_similarity(spark):
+    rng = np.random.default_rng(5)
+    near, sizes = [], []
+    for b in rng.integers(-(2**62), 2**62, (30, 16)):
+        for _ in range(8):
+            own = b.copy()
+            for bit in rng.choice(1024, int(rng.integers(1, 90)), replace=False):
+                own[bit // 64] ^= np.int64(1) << np.int64(bit % 64)
+            near.append(own)
+            sizes.append(int(rng.choice((0, 1, 2, 4, 5, 6, 8, 10, 80, 99, 100, 125, 126, 20_000))))
+    rows = [(f"{k:04d}", [int(x) for x in w], n) for k, (w, n) in enumerate(zip(near, sizes, strict=True))]
+    fits = lambda a, b: 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])
+    want = grouped(len(near), lambda a, b: fits(a, b) and int(np.bitwise_count(near[a].view(np.uint64) ^ near[b].view(np.uint64)).sum()) <= 166)
+    for tile in (7, 1000):
+        got = list(range(len(near)))
+        for r in simhash.near_links(spark.createDataFrame(rows, "node string, words array<long>, size long"), 166, tile, 1024, simhash.RATIO).collect():
+            x, y = got[int(r.a)], got[int(r.b)]
+            got = [min(x, y) if q in (x, y) else q for q in got]
+        assert got == want
+    left, right = (np.array(x, np.int64).view(np.uint64) for x in (near[:100], near[100:]))
+    member, root = simhash.near_groups(left, right, 166, [np.array(sizes[:100]), np.array(sizes[100:])], simhash.RATIO)
+    assert len(member) and all(m < 100 or r < 100 or want[m] == want[r] for m, r in zip(member, root, strict=True))
