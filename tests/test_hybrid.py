@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memloom.operators import cases, graph, hybrid, inverted, models, ranking, store
 
@@ -125,3 +126,15 @@ def test_the_active_model_stays(spark):
     none = spark.createDataFrame([], "atom_id long, model_id string")
     with pytest.raises(ValueError, match="active"):
         store.drop_model(none, none, "m", "m")
+
+
+def test_large_batches_multiply_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.integers(-3, 4, 8 if k % 11 else 4)], k % 3) for k in range(300)] + [(300, None, 0)]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>, class_pos int")
+    queries = vectors.filter("doc_id % 5 = 0 AND embedding IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    for skip_own, by in ((False, ("query_id",)), (True, ("query_id",)), (True, ("query_id", "class_pos"))):
+        small = ranking.dense_top(queries, vectors, 4, skip_own, by=by)
+        large = ranking.dense_top(queries, vectors, 4, skip_own, max_components=100, by=by)
+        assert "aggregate(" not in large._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, large.select(*small.columns).collect())) == sorted(map(tuple, small.collect()))
