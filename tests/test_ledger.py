@@ -240,3 +240,63 @@ def test_association_and_supersession(spark):
 
 def test_model_family_is_known():
     assert [m[:2] for m in entities.Extractor(tuple(entities.REAL)).spans("we ran gpt-4 and llama 3") if m[1] == "model"]
+
+
+def test_shared_top_counts_hubs_and_is_exact(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda ids: {int(i): ([None, "p", "q", "r"][rng.integers(4)], {f"v{x}" for x in np.minimum(rng.zipf(1.3, rng.integers(1, 9)), 60)}) for i in ids}
+    mine, theirs = draw(range(0, 1400, 2)), draw(range(1, 1400, 2))
+    theirs |= {i: ("q", {"v1"}) for i in range(1401, 1440, 2)} | {1999: ("s", {"lone"})}  # equal sets, and one that no source shares
+    n = {}
+    for _, own in (*mine.values(), *theirs.values()):
+        for x in own:
+            n[x] = n.get(x, 0) + 1
+    assert max(n.values()) > 500  # values of so many atoms were left out
+    want = {}
+    for m, (p, own) in mine.items():
+        scores = [(-round(sum(1 / n[x] for x in own & has) + (0.05 if p and p == r else 0), 9), c) for c, (r, has) in theirs.items() if own & has]
+        want[m] = [(c, -s) for s, c in sorted(scores) if -s >= 0.02][:3]
+    frame = lambda rows, name: spark.createDataFrame([(i, p, x) for i, (p, own) in rows.items() for x in own], f"{name} long, project string, value string")
+    degree = spark.createDataFrame(list(n.items()), "value string, n long")
+    for sizes in ({}, {"max_others": 300, "max_own": 500}):
+        got = {}
+        for r in associate.shared_top(frame(mine, "query_id"), frame(theirs, "doc_id"), degree, **sizes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        for m, own in want.items():
+            assert [c for c, _ in got.get(m, [])] == [c for c, _ in own] and np.allclose([s for _, s in got.get(m, [])], [s for _, s in own], atol=2e-9), m
+
+
+def test_hubs_bring_proposals_as_in_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from memloom.plans import registry
+
+    rows = [(i, f"Common {'Rare' if i in (7, 14) else 'words'}", "de", "web", 12) for i in range(1, 700)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(7, [1.0, 0.0]), (14, [0.6, 0.8])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["j16_edge_proposals"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as c:
+        for name in ("documents", "labels", "embeddings"):
+            c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = sorted(c.execute(registry.ORACLES["j16_edge_proposals"]).fetchall())
+    assert got == want and {r[0] for r in got} >= {8, 9, 10, 11, 16} and (7, 14) in {r[:2] for r in got}
+
+
+def test_mentions_are_whole_words(spark):
+    text = "\U0001d400Hello \U0001f600Smile Smile\U0001d400 Hello\nWorld\u00e9 \u00c9world World_ _World ABCDE9 ABCde AbTech-AbcD X1234 HelloTechs\n\nThere"
+    rows = [(1, text), (2, text.replace("\U0001d400", "\u00e9").replace("\U0001f600", "-")), (3, None)]
+    got = {}
+    for r in entities.native_mentions(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.label, r.etype))
+    want = [("smile", "proper"), ("hello", "proper"), ("abcde9", "code"), ("abcde", "company"), ("abtech", "company"), ("abcd", "company"), ("hellotechs", "company"), ("there", "proper")]
+    assert got == {1: want, 2: want}
+
+
+def test_dense_top_of_large_batches(spark):
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(-2, 3, (300, 3)).astype(float), rng.integers(-2, 3, (4100, 3)).astype(float)  # many ties
+    frame = lambda a, names: spark.createDataFrame([(i, row) for i, row in enumerate(a.tolist())], names)
+    got = {}
+    for r in ranking.dense_top(frame(q, "query_id long, q array<double>"), frame(x, "doc_id long, embedding array<double>"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert [got[j] for j in range(len(q))] == np.argsort(-(x @ q.T), axis=0, kind="stable")[:5].T.tolist()
