@@ -132,3 +132,39 @@ def test_rounding_is_that_of_the_sql(spark):
     got = [r.v for r in x.select("k", tx.rounded("v", 9).alias("v")).orderBy("k").collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchone()[0] for v in values]
     assert got[0] == 0.004089972
+
+
+def test_all_terms_of_a_query_count(spark, memory):
+    asked = spark.createDataFrame([(1, "word " * 70 + "whale", None)], "query_id long, query_text string, q array<double>")
+    found = lambda **more: [r.doc_id for r in recall.signals(memory, asked, recall.Request(**more)).collect()]
+    assert found() == [3] and found(first_terms=64) == []
+
+
+@pytest.fixture(scope="module")
+def long_queries(spark, tmp_path_factory):
+    """Tables whose queries have 100 words each."""
+    root, rng = tmp_path_factory.mktemp("long"), np.random.default_rng(3)
+    words = np.array([f"{'W' if k % 5 == 0 else 'w'}ord{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(150)])
+    text = lambda n: " ".join(rng.choice(words, n))
+    tables = {
+        "documents": ([(i, text(20), "en", "web", 140 + i) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(i, i % 2) for i in range(60)], "doc_id long, quality int"),
+        "embeddings": ([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<float>"),
+        "benchmark": ([(i, text(100)) for i in range(3)], "item_id long, text string"),
+    }
+    for name, (rows, columns) in tables.items():
+        spark.createDataFrame(rows, columns).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ["r24_recall"])
+def test_long_queries_as_in_the_sql(spark, long_queries, name):
+    duckdb = pytest.importorskip("duckdb")
+    from memloom.plans import registry
+
+    assert "[1:64]" not in registry.ORACLES[name] and "[1:64]" in registry.ORACLES["r25_records"]
+    got = sorted(tuple(r) for r in registry.QUERIES[name](spark, long_queries).collect())
+    with duckdb.connect() as c:
+        for table in ("documents", "labels", "embeddings", "benchmark"):
+            c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{long_queries}/{table}.parquet/*.parquet'")
+        assert got == sorted(c.execute(registry.ORACLES[name]).fetchall()) and len(got) == 30
