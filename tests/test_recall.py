@@ -157,7 +157,7 @@ def long_queries(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["r24_recall"])
+@pytest.mark.parametrize("name", ["r24_recall", "r24_recall_reranked"])
 def test_long_queries_as_in_the_sql(spark, long_queries, name):
     duckdb = pytest.importorskip("duckdb")
     from memloom.plans import registry
